@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, simhash
+from . import decontaminate, exact_dedup, langid, licences, line_dedup, packing, quality, simhash, token_counts, toxicity
+from .samples import remainder
+
+#: Where the vocabulary files of public tokenizers are.
+TOKENIZERS = "/opt/tokenizers"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,10 +62,94 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
+    """Counts of every text, and after three edits of it, at places drawn from doc_id: a cut, an insertion and a replacement."""
+    docs = _read(spark, sf_dir, "documents")
+    n = F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1))
+    at = [F.pmod(F.xxhash64("doc_id", F.lit(k)), n).cast("int").alias("at") for k in range(3)]
+    edits = F.array(
+        F.struct(at[0], F.lit(40).alias("removed"), F.lit("").alias("inserted")),
+        F.struct(at[1], F.lit(0).alias("removed"), F.lit(" an inserted passage, it's new").alias("inserted")),
+        F.struct(at[2], F.lit(7).alias("removed"), F.lit("replaced").alias("inserted")),
+    )
+    rows = token_counts.token_counts(docs.withColumn("edits", edits), tokenizer)
+    return rows.select("doc_id", "tokens", "tokens_after", "chars_after", "chars_encoded", F.size("leaf_tokens").alias("leaves"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    rows = langid.predicted(docs.select("doc_id", "text"), langid.train(docs))
+    return rows.select("doc_id", (remainder(4) == 2).alias("held_out"), F.col("lang_pred"), F.col("lang_score").alias("score"))
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_read(spark, sf_dir, "documents"))
+
+
+def _op6_sql() -> str:
+    quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licences.TEMPLATES.items())
+    word = r"[a-z0-9\x{80}-\x{10FFFF}]+"
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH t0(license_id, text) AS (VALUES {quoted}),
+t1 AS (SELECT license_id, regexp_extract_all({low.format("text")}, '{word}') AS w FROM t0),
+t AS (SELECT license_id, {grams} AS g FROM t1),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS said FROM documents UNION ALL
+      SELECT doc_id, text FROM documents WHERE contains(text, chr(10))),
+u0 AS (SELECT doc_id, regexp_extract_all({low.format("said")}, '{word}') AS w FROM l),
+u AS (SELECT doc_id, {grams} AS g FROM u0 WHERE len(w) BETWEEN 2 AND 20000),
+d AS (SELECT doc_id, license_id, 2.0 * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) AS dice FROM u JOIN t
+      ON len(u.g) BETWEEN len(t.g) / 1.5001 AND len(t.g) * 1.5001)
+SELECT doc_id, license_id, count(*) AS units, CAST(round(max(dice), 6) AS DOUBLE) AS dice FROM d WHERE dice >= 0.8 - 1e-12 GROUP BY ALL
+"""
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.scored(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+    return rows.select("doc_id", (remainder(5) == 0).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.scored(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
+    return rows.select("doc_id", (remainder(4) == 2).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.KEEP).cast("int").alias("predicted"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer)
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.repeated_lines(_read(spark, sf_dir, "documents"))
+    numbers = F.array_join(F.transform("deleted", lambda x: x.cast("string")), ",")
+    return rows.select("doc_id", F.col("lines").cast("long").alias("n_lines"), F.size("deleted").cast("long").alias("n_deleted"), F.sha2(numbers, 256).alias("deleted_sha256"))
+
+
+#: Runs of three lines, and lines of forty words, that have begun or occurred earlier.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST) AS o, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT o, unnest(l) AS s, unnest(range(len(l))) AS p FROM d),
+y AS (SELECT o, p, s, lead(s, 1) OVER w AS s1, lead(s, 2) OVER w AS s2, row_number() OVER (PARTITION BY s ORDER BY o, p) AS n1 FROM x WINDOW w AS (PARTITION BY o ORDER BY p)),
+z AS (SELECT *, row_number() OVER (PARTITION BY s, s1, s2 ORDER BY o, p) AS n3 FROM y),
+gone AS (SELECT o, unnest(range(p, p + 3)) AS p FROM z WHERE s2 IS NOT NULL AND n3 > 1
+         UNION SELECT o, p FROM y WHERE n1 > 1 AND len(regexp_split_to_array(trim(s, ' '), '\s+')) >= 40),
+g AS (SELECT o, count(*) AS n, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS ps FROM gone GROUP BY o)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_deleted, sha256(coalesce(ps, '')) AS deleted_sha256 FROM d LEFT JOIN g USING (o)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op5_language_id": op5_language_id,
+    "op6_licence_scan": op6_licence_scan,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL, "op6_licence_scan": _op6_sql(), "op10_line_dedup": OP10_SQL}
