@@ -76,7 +76,7 @@ def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rows = docs.select("doc_id", F.posexplode(units).alias("unit", "said")).select("doc_id", "unit", F.xxhash64("said").alias("h"), words_of(F.col("said")).alias("w"))
     # Distinct bigrams are at most the words less one, so words show at once that a unit is too short.
     rows = rows.filter(F.size("w") - 1 >= low)
-    distinct = F.expr("size(array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))))")
+    distinct = F.expr("if(size(w) < 2, 0, size(array_distinct(transform(sequence(0, size(w) - 2), i -> concat(get(w, i), ' ', get(w, i + 1))))))")
     rows = rows.withColumn("own", distinct).filter((F.col("own") >= low) & (F.col("own") <= high))
     each = rows.select("doc_id", "unit", "h", "own", "w", F.posexplode("w").alias("i", "word"))
     each = each.withColumn("bigram", F.concat("word", F.lit(" "), F.get("w", F.col("i") + 1)))
