@@ -73,12 +73,16 @@ def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     lines = F.split(text, "\n", -1)
     units = F.when(F.size(lines) > 1, F.concat(lines, F.array(text))).otherwise(lines)
-    rows = docs.select("doc_id", F.posexplode(units).alias("unit", "said")).select("doc_id", "unit", F.xxhash64("said").alias("h"), words_of(F.col("said")).alias("w"))
-    # Distinct bigrams are at most the words less one, so words show at once that a unit is too short.
-    rows = rows.filter(F.size("w") - 1 >= low)
-    distinct = F.expr("if(size(w) < 2, 0, size(array_distinct(transform(sequence(0, size(w) - 2), i -> concat(get(w, i), ' ', get(w, i + 1))))))")
-    rows = rows.withColumn("own", distinct).filter((F.col("own") >= low) & (F.col("own") <= high))
-    each = rows.select("doc_id", "unit", "h", "own", "w", F.posexplode("w").alias("i", "word"))
+    rows = docs.select("doc_id", F.posexplode(units).alias("unit", "said"))
+    # Distinct bigrams are at most the words less one, so words show at once that a unit is too short.  The words are
+    # a lambda's argument, and the bounds a generator's: nothing is computed twice.
+    grams = f"if(size(w) - 1 < {low}, 0, size(array_distinct(transform(sequence(0, size(w) - 2), i -> concat(get(w, i), ' ', get(w, i + 1))))))"
+    sized = F.transform(F.array(words_of(F.col("said"))), lambda w: F.struct(w.alias("w")))
+    rows = rows.select("doc_id", "unit", F.xxhash64("said").alias("h"), sized.alias("s"))
+    within = F.expr(f"filter(transform(s.w, w -> named_struct('w', w, 'own', {grams})), x -> x.own between {low} and {high})")
+    rows = rows.select("doc_id", "unit", "h", F.explode(within).alias("x"))
+    each = rows.select("doc_id", "unit", "h", F.col("x.own").alias("own"), F.col("x.w").alias("w"))
+    each = each.select("doc_id", "unit", "h", "own", "w", F.posexplode("w").alias("i", "word"))
     each = each.withColumn("bigram", F.concat("word", F.lit(" "), F.get("w", F.col("i") + 1)))
     hits = each.join(F.broadcast(known), "bigram").select("doc_id", "unit", "h", "license_id", "size", "bigram", "own")
     hits = hits.filter((F.col("own") >= F.col("size") * least / (2 - least)) & (F.col("own") <= F.col("size") * (2 - least) / least))
