@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import basic_norm, name_norm, numbers, squash
+from ..sources.scratch import written
 
 #: Tokens that canonical text drops.
 NULLS = ("null", "nan", "none", "na", "nil", "n", "a", "unknown", "nu11")
@@ -53,8 +54,10 @@ def basic(records: DataFrame, accents: bool = True) -> DataFrame:
 def canonical(records: DataFrame, maps: DataFrame | None = None) -> DataFrame:
     """entity_id, country, name_c, name_core, name_sq, addr_c, addr_core, nums, postal of basic records.
 
-    maps is field_maps'; countries that it doesn't have get none.
+    maps is field_maps'; countries that it doesn't have get none.  Records and tokens are written on the way: each is
+    read by many expressions, which would otherwise all normalise the text again.
     """
+    records = written(records, "basic")
     empty, none = F.create_map().cast("map<string,string>"), F.array().cast("array<string>")
     rows = records
     for field, short in (("name", "n"), ("addr", "a")):
@@ -64,6 +67,7 @@ def canonical(records: DataFrame, maps: DataFrame | None = None) -> DataFrame:
             own = maps.filter(F.col("field") == field).select("country", F.col("sub").alias(f"{short}_sub"), F.col("expand").alias(f"{short}_exp"), F.col("generic").alias(f"{short}_gen"), F.col("prefix").alias(f"{short}_pre"))
             rows = rows.join(own, "country", "left").withColumns({f"{short}_sub": F.coalesce(f"{short}_sub", empty), f"{short}_exp": F.coalesce(f"{short}_exp", empty), f"{short}_gen": F.coalesce(f"{short}_gen", none), f"{short}_pre": F.coalesce(f"{short}_pre", none)})
     rows = rows.withColumn("nt", apply_maps(F.col("name_b"), F.col("n_sub"), F.col("n_exp"), F.col("n_pre"))).withColumn("at", apply_maps(F.col("addr_b"), F.col("a_sub"), F.col("a_exp"), F.col("a_pre")))
+    rows = written(rows.select("entity_id", "country", "addr_b", "nt", "at", "n_gen", "a_gen"), "tokens")
     name = F.array_join("nt", " ")
     core = F.array_join(F.filter("nt", lambda x: ~F.array_contains(F.col("n_gen"), x)), " ")
     addr_core = F.filter("at", lambda x: ~F.array_contains(F.col("a_gen"), x) & ~x.rlike(r"^\d+$"))

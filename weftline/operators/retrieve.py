@@ -59,10 +59,11 @@ def knn(q: DataFrame, d: DataFrame, k: int, exclude_same: bool = False, blocks:
     search; for few queries against all rows that is one pass.
     """
     d, q = d.filter("v is not null"), q.filter("v is not null")
+    q, d = (x.select(F.col("id").alias("id"), F.col("v").alias("v")) for x in (q, d))
     n = blocks or max(1, -(-d.count() // KNN_BLOCK))
     m = max(1, -(-q.count() // KNN_BLOCK))
-    left = q.select(F.lit("q").alias("side"), F.col("id"), F.col("v"), F.pmod(F.xxhash64("id"), F.lit(m)).alias("m"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("n"))
-    right = d.select(F.lit("d").alias("side"), F.col("id"), F.col("v"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("long").alias("m"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("n"))
+    left = q.select(F.lit("q").alias("side"), F.col("id"), F.col("v"), F.pmod(F.xxhash64("id"), F.lit(m)).cast("long").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("n"))
+    right = d.select(F.lit("d").alias("side"), F.col("id"), F.col("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("m"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("long").alias("n"))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.side == "q"], pdf[pdf.side == "d"].sort_values("id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import canon, decide, merge, retrieve, vectors
+from ..sources.scratch import written
 from .config import Channel, LinkageConfig
 
 
@@ -22,9 +23,9 @@ def terms(rows: DataFrame, channel: Channel, config: LinkageConfig) -> DataFrame
 
 def view_vectors(index: DataFrame, query: DataFrame, channel: Channel, config: LinkageConfig, nnz: int | None) -> tuple[DataFrame, DataFrame]:
     """Vectors of index and query; frequencies are the index's alone."""
-    a, b = terms(index, channel, config), terms(query, channel, config)
-    known = vectors.idf(a, index.count(), config.min_df, channel.max_df)
-    return vectors.weigh(a, known, nnz), vectors.weigh(b, known, nnz)
+    a, b = written(terms(index, channel, config), "terms"), terms(query, channel, config)
+    known = written(vectors.idf(a, index.count(), config.min_df, channel.max_df), "idf")
+    return written(vectors.weigh(a, known, nnz), "index"), written(vectors.weigh(b, known, nnz), "query")
 
 
 def candidates(index: DataFrame, query: DataFrame, config: LinkageConfig) -> DataFrame:
@@ -37,7 +38,7 @@ def candidates(index: DataFrame, query: DataFrame, config: LinkageConfig) -> Dat
         found[name] = retrieve.topk_cosine(q, d, channel.k, channel.threshold)
     (dn, qn), (da, qa) = kept["name_sq"], kept["addr"]
     found["joint"] = retrieve.topk_cosine(retrieve.joint(qn, qa), retrieve.joint(dn, da), config.joint_k, config.joint_threshold)
-    merged = merge.merge_channels(found)
+    merged = written(merge.merge_channels(found), "pairs")
     merged = vectors.pair_cosine(vectors.pair_cosine(merged, qn, dn, "name_cos"), qa, da, "addr_cos")
     score = merge.combine(F.col("name_cos"), F.col("addr_cos"), F.col("exact"), config.score_mode)
     return merged.withColumn("s", F.round(score, 6)).filter(F.col("s") >= config.min_score)
@@ -46,7 +47,7 @@ def candidates(index: DataFrame, query: DataFrame, config: LinkageConfig) -> Dat
 def link(s1: DataFrame, others: DataFrame, config: LinkageConfig | None = None, maps: DataFrame | None = None) -> DataFrame:
     """s1, matched of raw records, without a trained model: half of the block score stands for the chance."""
     config = config or LinkageConfig()
-    index, query = (canon.canonical(canon.basic(r), maps) for r in (s1, others))
+    index, query = (written(canon.canonical(canon.basic(r), maps), "canonical") for r in (s1, others))
     pairs = merge.prune_top(candidates(index, query, config), "d", "q", "s", config.stage2_m, config.min_score)
     scored = pairs.select(F.col("d").alias("s1"), F.col("q").alias("cand"), F.least(F.lit(1.0), F.col("s") / 2).alias("p"))
     return decide.to_submission(decide.choose(scored), s1.select(F.col("entity_id").alias("s1")))

@@ -11,6 +11,7 @@ from ..functions import similarity as sim
 from ..functions import text
 from ..operators import adaptive, canon, decide, evaluate, features, lexicon, merge, models, retrieve, stack, validate, vectors
 from ..sources import tables
+from ..sources.scratch import written
 from . import linkage
 from .config import Channel, LinkageConfig
 from .fixtures import PAIRS, VIEWS, pairs, view
@@ -29,6 +30,10 @@ def query(sql: str | None = None):
     return put
 
 
+#: Added before rounding where values can lie halfway between two roundings by their making.
+OFF = 1e-8
+
+
 def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
@@ -100,17 +105,17 @@ pbs AS (SELECT s1, cands, k, len(ps) AS n, {_pb("ps[1:k]")} AS a, {_pb("ps[k + 1
 sc AS (SELECT s1, cands, k, CASE WHEN k = 0 THEN b[1] ELSE list_sum(list_transform(range(k + 1), lambda t: a[t + 1] * t * list_sum(list_transform(range(n - k + 1), lambda m: b[m + 1] * 1.25 / (0.25 * (t + m) + k))))) END AS score FROM pbs)"""
 
 
-@query(f"{_GROUPS.format(t='pr')}, d AS (SELECT s1, {_pb('ps')} AS a FROM g) SELECT s1, CAST(i AS INT) AS k, round(a[i + 1], 6) AS prob FROM (SELECT s1, a, unnest(range(len(a))) AS i FROM d)")
+@query(f"{_GROUPS.format(t='pr')}, d AS (SELECT s1, {_pb('ps')} AS a FROM g) SELECT s1, CAST(i AS INT) AS k, round(a[i + 1] + 1e-8, 6) AS prob FROM (SELECT s1, a, unnest(range(len(a))) AS i FROM d)")
 def poisson_binomial(spark, sf):
     g = decide.groups(pairs(spark, sf))
     clipped = F.transform("ps", lambda p: F.greatest(F.least(p, F.lit(1 - 1e-9)), F.lit(1e-9)))
-    return g.select("s1", F.posexplode(decide.poisson_binomial(clipped)).alias("k", "prob")).withColumn("prob", F.round("prob", 6))
+    return g.select("s1", F.posexplode(decide.poisson_binomial(clipped)).alias("k", "prob")).withColumn("prob", F.round(F.col("prob") + OFF, 6))
 
 
-@query(f"{_GROUPS.format(t='pr')}, {_SCORES} SELECT s1, CAST(k AS INT) AS k, round(score, 6) AS score FROM sc")
+@query(f"{_GROUPS.format(t='pr')}, {_SCORES} SELECT s1, CAST(k AS INT) AS k, round(score + 1e-8, 6) AS score FROM sc")
 def expected_f05(spark, sf):
     g = decide.groups(pairs(spark, sf))
-    return g.select("s1", F.posexplode(decide.expected_f05(F.col("ps"))).alias("k", "score")).withColumn("score", F.round("score", 6))
+    return g.select("s1", F.posexplode(decide.expected_f05(F.col("ps"))).alias("k", "score")).withColumn("score", F.round(F.col("score") + OFF, 6))
 
 
 _CHOSEN = f"""{_GROUPS.format(t='own')}, {_SCORES}, best AS (SELECT s1, any_value(cands) AS cands, arg_min(k, (-round(score, 9), k)) AS n FROM sc GROUP BY s1)"""
@@ -141,7 +146,7 @@ i AS (SELECT * FROM c WHERE entity_id LIKE 'S1-%'), q AS (SELECT * FROM c WHERE
 
 
 def canon_of(spark, sf, name: str) -> DataFrame:
-    return canon.canonical(canon.basic(view(spark, sf, name)))
+    return written(canon.canonical(canon.basic(view(spark, sf, name))), name)
 
 
 @query(f"{_V} SELECT source1_entity_id AS s1, trim(x) AS cand FROM (SELECT source1_entity_id, unnest(string_split(matched_entity_ids, ',')) AS x FROM truth) WHERE x <> ''")
@@ -316,12 +321,12 @@ def _merged(spark, sf) -> tuple[DataFrame, tuple, tuple]:
     index, other = _sides(spark, sf)
     (dn, qn), (da, qa) = (linkage.view_vectors(index, other, _WIDE[c], _CONFIG, 28) for c in ("name_sq", "addr"))
     found = {"exact": _exact(index, other).withColumn("s", F.lit(1.0)), "name": retrieve.topk_cosine(qn, dn, 14, 0.32), "addr": retrieve.topk_cosine(qa, da, 12, 0.30)}
-    return merge.merge_channels(found), (qn, dn), (qa, da)
+    return written(merge.merge_channels(found), "pairs"), (qn, dn), (qa, da)
 
 
 def _rescored(spark, sf) -> DataFrame:
     m, name, addr = _merged(spark, sf)
-    return vectors.pair_cosine(vectors.pair_cosine(m, *name, "name_cos"), *addr, "addr_cos")
+    return written(vectors.pair_cosine(vectors.pair_cosine(m, *name, "name_cos"), *addr, "addr_cos"), "rescored")
 
 
 @query(f"{_M} SELECT * FROM m")
@@ -334,11 +339,11 @@ def pair_rescore(spark, sf):
     return _rescored(spark, sf).select("q", "d", "name_cos", "addr_cos")
 
 
-@query(f"""{_M} SELECT q, d, round(name_cos + addr_cos + 0.2 * exact, 6) AS sum, round(0.62 * name_cos + 0.38 * addr_cos + 0.2 * exact, 6) AS weighted,
-round(sqrt(greatest(name_cos, 0) * greatest(addr_cos, 0)) + 0.2 * exact, 6) AS geometric, round(greatest(name_cos, addr_cos) + 0.5 * least(name_cos, addr_cos) + 0.25 * exact, 6) AS robust FROM r""")
+@query(f"""{_M} SELECT q, d, round(name_cos + addr_cos + 0.2 * exact + 1e-8, 6) AS sum, round(0.62 * name_cos + 0.38 * addr_cos + 0.2 * exact + 1e-8, 6) AS weighted,
+round(sqrt(greatest(name_cos, 0) * greatest(addr_cos, 0)) + 0.2 * exact + 1e-8, 6) AS geometric, round(greatest(name_cos, addr_cos) + 0.5 * least(name_cos, addr_cos) + 0.25 * exact + 1e-8, 6) AS robust FROM r""")
 def combine_modes(spark, sf):
     c = F.col("name_cos"), F.col("addr_cos"), F.col("exact")
-    return _rescored(spark, sf).select("q", "d", *[r6(merge.combine(*c, mode), mode) for mode in ("sum", "weighted", "geometric", "robust")])
+    return _rescored(spark, sf).select("q", "d", *[r6(merge.combine(*c, mode) + OFF, mode) for mode in ("sum", "weighted", "geometric", "robust")])
 
 
 @query(f"{_M}, t AS (SELECT source1_entity_id AS d, unnest(string_split(matched_entity_ids, ',')) AS q FROM truth), h AS (SELECT m.* FROM m SEMI JOIN t USING (q, d)) SELECT CASE WHEN exact > 0 THEN 'exact' WHEN name > 0 THEN 'name' ELSE 'addr' END AS channel, count(*) AS n FROM h WHERE CAST(exact > 0 AS INT) + CAST(name > 0 AS INT) + CAST(addr > 0 AS INT) = 1 GROUP BY 1")
@@ -347,14 +352,14 @@ def sole_channel(spark, sf):
 
 
 @query(f"""{_M}, p AS (SELECT q, d, round(name_cos + addr_cos + 0.2 * exact, 6) AS s FROM r),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY s DESC, q) AS rn FROM p) WHERE rn <= 3),
-l AS (SELECT x.entity_id AS a, y.entity_id AS b, 0.5::DOUBLE + 0.5 * CAST(x.name_c = y.name_c AS INT) AS s FROM q x JOIN q y ON x.country = y.country AND x.addr_c = y.addr_c AND x.addr_c <> '' AND x.entity_id <> y.entity_id)
-SELECT l.b AS q, b.d, max(l.s) AS link FROM b JOIN l ON b.q = l.a WHERE (l.b, b.d) NOT IN (SELECT (q, d) FROM p) GROUP BY 1, 2""")
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY s DESC, q) AS rn FROM p) WHERE rn <= 3),
+l AS (SELECT x.entity_id AS a, y.entity_id AS b, 0.5::DOUBLE + 0.5 * CAST(x.addr_c = y.addr_c AS INT) AS s FROM q x JOIN q y ON x.country = y.country AND x.name_c = y.name_c AND x.entity_id <> y.entity_id)
+SELECT l.b AS q, tp.d, max(l.s) AS link FROM tp JOIN l ON tp.q = l.a WHERE (l.b, tp.d) NOT IN (SELECT (q, d) FROM p) GROUP BY 1, 2""")
 def link_expansion(spark, sf):
     index, other = _sides(spark, sf)
     scored = _rescored(spark, sf).select("q", "d", F.round(merge.combine(F.col("name_cos"), F.col("addr_cos"), F.col("exact")), 6).alias("s"))
-    a, b = (other.filter("addr_c <> ''").select("country", "addr_c", F.col("entity_id").alias(n), F.col("name_c").alias(f"{n}n")) for n in ("a", "b"))
-    links = a.join(b, ["country", "addr_c"]).filter("a <> b").select("a", "b", (0.5 + 0.5 * (F.col("an") == F.col("bn")).cast("int")).alias("s"))
+    a, b = (other.select("country", "name_c", F.col("entity_id").alias(n), F.col("addr_c").alias(f"{n}n")) for n in ("a", "b"))
+    links = a.join(b, ["country", "name_c"]).filter("a <> b").select("a", "b", (0.5 + 0.5 * (F.col("an") == F.col("bn")).cast("int")).alias("s"))
     return retrieve.expand_links(scored, links, 3)
 
 
@@ -413,11 +418,11 @@ def rare_shared_token(spark, sf):
 
 @query(f"""{_P}, n AS (SELECT q, d, nullif(substr(split_part(a_nums, ' ', 1), 1, 9), '') AS ta, nullif(substr(split_part(b_nums, ' ', 1), 1, 9), '') AS tb FROM p),
 m AS (SELECT *, ta::DOUBLE AS a, tb::DOUBLE AS b FROM n)
-SELECT q, d, b - a AS hn_delta, abs(b - a) AS hn_abs, CAST(a = b AS INT) AS hn_eq, CAST(b - a >= 1 AND b - a <= 25 AS INT) AS hn_small_pos,
-CASE WHEN a IS NOT NULL AND b IS NOT NULL AND greatest(a, b) > 0 THEN round(least(a, b) / greatest(a, b), 6) END AS hn_ratio, CAST(len(ta) AS INT) AS hn_len_a, CAST(levenshtein(ta, tb) AS INT) AS hn_lev FROM m""")
+SELECT q, d, b - a AS hn_delta, abs(b - a) AS hn_abs, CAST(a = b AS DOUBLE) AS hn_eq, CAST(b - a >= 1 AND b - a <= 25 AS DOUBLE) AS hn_small_pos,
+CASE WHEN a IS NOT NULL AND b IS NOT NULL AND greatest(a, b) > 0 THEN round(least(a, b) / greatest(a, b), 6) END AS hn_ratio, CAST(len(ta) AS DOUBLE) AS hn_len_a, CAST(levenshtein(ta, tb) AS DOUBLE) AS hn_lev FROM m""")
 def house_number_features(spark, sf):
     rows = features.number_features(_feature_pairs(spark, sf))
-    return rows.select("q", "d", "hn_delta", "hn_abs", "hn_eq", "hn_small_pos", r6(F.col("hn_ratio"), "hn_ratio"), "hn_len_a", "hn_lev")
+    return rows.select("q", "d", r6(F.col("hn_ratio"), "hn_ratio"), *[F.col(f"hn_{c}").cast("double").alias(f"hn_{c}") for c in ("delta", "abs", "eq", "small_pos", "len_a", "lev")])
 
 
 @query(f"{_C} SELECT entity_id, count(*) OVER (PARTITION BY country, name_c) AS n FROM i")
@@ -620,7 +625,7 @@ def _aligned(spark, sf) -> DataFrame:
     b = canon.basic(view(spark, sf, "recs")).select("entity_id", "country", F.filter(F.split("addr_b", " "), lambda x: x != "").alias("t"))
     t = tables.truth_pairs(view(spark, sf, "truth"))
     rows = t.join(b.select(F.col("entity_id").alias("s1"), "country", F.col("t").alias("clean")), "s1").join(b.select(F.col("entity_id").alias("cand"), F.col("t").alias("noisy")), "cand")
-    return lexicon.align(rows.withColumn("field", F.lit("addr")))
+    return written(lexicon.align(written(rows.withColumn("field", F.lit("addr")), "sides")), "aligned")
 
 
 @query(f"{_AL} SELECT country, noisy, clean, count(*) AS n FROM (SELECT country, unnest(rn) AS noisy, unnest(rc) AS clean FROM rs WHERE len(rc) = len(rn)) GROUP BY ALL")
