@@ -115,10 +115,10 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, probes: int =
 
 def proximity(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int = 8, share: float = 0.8) -> DataFrame:
     """Inexact matches: doc_id, sha, item_id, terms, of documents that hold at least `share` of a
-    window's distinct terms within size + slack words of each other.
+    window's distinct terms in one cell.
 
-    Terms are looked up in an index of all of the benchmark's words, in cells of
-    size + slack words that overlap by half of that, so that no near passage falls between.
+    Cells are 2 (size + slack) words long and overlap by half, so that every passage of size + slack words
+    lies within one.
     """
     work = Work(docs.sparkSession, "proximity")
     span = size + slack
@@ -126,7 +126,7 @@ def proximity(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int
     each = owners.select("wid", F.size("terms").alias("n"), F.explode("terms").alias("term")).distinct()
     said = docs.select(*_key(), F.posexplode(words_of("text")).alias("at", "term"))
     near = said.join(each, "term")
-    cells = F.array(F.floor(F.col("at") / span) * 2, F.floor((F.col("at") + span / 2) / span) * 2 + 1)
+    cells = F.array(F.floor(F.col("at") / (2 * span)) * 2, F.floor((F.col("at") + span) / (2 * span)) * 2 + 1)
     near = near.select("doc_id", "sha", "wid", "n", "term", F.explode(cells).alias("cell"))
     near = near.groupBy("doc_id", "sha", "wid", "n", "cell").agg(F.count_distinct("term").alias("hit")).filter(F.col("hit") >= F.col("n") * share)
     near = near.groupBy("doc_id", "sha", "wid").agg(F.max("hit").alias("terms"))
