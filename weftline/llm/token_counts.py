@@ -76,24 +76,46 @@ def build(bpe: WordBpe, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]
     return out
 
 
+def edit_all(bpe: WordBpe, trees: list[Tree], texts: list[str], edits: list[list[tuple[int, int, str]]]) -> list[int]:
+    """Applies each text's edits (at, removed, inserted) in order, to trees and texts in place; characters encoded per text.
+
+    The first edits of all texts are encoded together, then the second ones, and so on.
+    """
+    work = [0] * len(texts)
+    for nth in range(max(map(len, edits), default=0)):
+        parts, where, whole = [], [], []
+        for k, todo in enumerate(edits):
+            if len(todo) <= nth:
+                continue
+            tree, text, (at, removed, inserted) = trees[k], texts[k], todo[nth]
+            at = max(0, min(at, len(text)))
+            removed = max(0, min(removed, len(text) - at))
+            texts[k] = new = text[:at] + inserted + text[at + removed :]
+            near = new[max(0, at - 64) : at + len(inserted) + 64]
+            if tree.leaves == 1 or any(s in near for s in bpe.special):
+                whole.append(k)
+                continue
+            first, begin = tree.find(at - CONTEXT)
+            last, last_begin = tree.find(at + removed + CONTEXT)
+            end = last_begin + int(tree.sums[last + tree.n, 0])
+            parts.append(new[begin : end + len(inserted) - removed])
+            where.append((k, first, last))
+        for (k, first, last), part, ids in zip(where, parts, bpe.encode(parts), strict=True):
+            for leaf in range(first + 1, last + 1):
+                trees[k].set(leaf, 0, 0)
+            trees[k].set(first, len(part), len(ids))
+            work[k] += len(part)
+        for k, leaves in zip(whole, build(bpe, [texts[k] for k in whole]), strict=True):
+            trees[k] = Tree(*leaves)
+            work[k] += len(texts[k])
+    return work
+
+
 def edit(bpe: WordBpe, tree: Tree, text: str, at: int, removed: int, inserted: str) -> tuple[Tree, str, int]:
     """(tree, new text, characters encoded) after text[at:at + removed] becomes inserted; the tree is changed in place."""
-    at = max(0, min(at, len(text)))
-    removed = max(0, min(removed, len(text) - at))
-    new = text[:at] + inserted + text[at + removed :]
-    near = new[max(0, at - 64) : at + len(inserted) + 64]
-    if tree.leaves == 1 or any(s in near for s in bpe.special):
-        chars, tokens = build(bpe, [new])[0]
-        return Tree(chars, tokens), new, len(new)
-    first, begin = tree.find(at - CONTEXT)
-    last, last_begin = tree.find(at + removed + CONTEXT)
-    end = last_begin + int(tree.sums[last + tree.n, 0])
-    part = new[begin : end + len(inserted) - removed]
-    tokens = len(bpe.encode([part])[0])
-    for leaf in range(first + 1, last + 1):
-        tree.set(leaf, 0, 0)
-    tree.set(first, len(part), tokens)
-    return tree, new, len(part)
+    trees, texts = [tree], [text]
+    work = edit_all(bpe, trees, texts, [[(at, removed, inserted)]])
+    return trees[0], texts[0], work[0]
 
 
 def _run(tokenizer: str, kept: bool):
@@ -107,19 +129,12 @@ def _run(tokenizer: str, kept: bool):
                 leaves = [(np.array(c), np.array(t)) for c, t in old]
             else:
                 leaves = [x for k in range(0, len(texts), 256) for x in build(bpe, texts[k : k + 256])]
-            before, after, encoded, chars, tokens, news = [], [], [], [], [], []
-            for text, (c, t), todo in zip(texts, leaves, edits, strict=True):
-                tree, work = Tree(c, t), 0
-                before.append(tree.tokens)
-                for e in todo or []:
-                    tree, text, n = edit(bpe, tree, text, e["at"] or 0, e["removed"] or 0, e["inserted"] or "")
-                    work += n
-                after.append(tree.tokens)
-                encoded.append(work)
-                news.append(len(text))
-                own = tree.sums[tree.n : tree.n + tree.leaves]
-                chars.append(own[:, 0].tolist())
-                tokens.append(own[:, 1].tolist())
+            trees = [Tree(c, t) for c, t in leaves]
+            before = [t.tokens for t in trees]
+            encoded = edit_all(bpe, trees, texts, [[(e["at"] or 0, e["removed"] or 0, e["inserted"] or "") for e in todo or []] for todo in edits])
+            after, news = [t.tokens for t in trees], [len(t) for t in texts]
+            own = [t.sums[t.n : t.n + t.leaves] for t in trees]
+            chars, tokens = [x[:, 0].tolist() for x in own], [x[:, 1].tolist() for x in own]
             cols = [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (before, after, news, encoded)), pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tokens", "tokens_after", "chars_after", "chars_encoded", "leaf_chars", "leaf_tokens"])
 
