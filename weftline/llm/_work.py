@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,8 +45,10 @@ class Work:
 
     def release(self) -> None:
         """Lets Spark delete shuffle files that no live DataFrame needs."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # Python's hold on the JVM's objects goes first
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)  # the cleaner works beside
 
     def _remove(self, path: str) -> None:
         try:

@@ -23,7 +23,10 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     work = Work(docs.sparkSession, "verdicts")
     keep = F.coalesce("keep", F.lit(False))
     pairs = verdicts.groupBy(F.col("doc_id").alias("__rid"), F.col("sha").alias("__rsha")).agg(F.count_if(~keep).alias("__out"), F.count_if(keep).alias("__stay"))
-    pairs = work.save(pairs.filter("__out > 0"), "rejected")
+    # Rejected pairs grow with the corpus, so they are dealt at every size and never broadcast.
+    pairs = work.save(pairs.filter("__out > 0"), "rejected").hint("merge")
+    # What made the verdicts isn't needed any more; its shuffle files make room for this join's.
+    work.release()
     gone, some = pairs.filter("__stay = 0"), pairs.filter("__stay > 0")
     rows = docs.withColumns({"__id": F.col("doc_id"), "__sha": text_sha()})
 
