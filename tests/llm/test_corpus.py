@@ -314,6 +314,35 @@ def test_line_dedup_depths(spark, min_lines):
     assert Counter((r["doc_id"], r["lines"], tuple(r["deleted"])) for r in got) == Counter(brute_lines(rows, min_lines, 10**6).values())
 
 
+def test_line_dedup_short_runs(spark):
+    """Runs of fewer than min_lines lines go by their words in all; scripts without blanks by characters."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(n)) for k, n in (("a", 30), ("b", 30), ("c", 9)))
+    han = "\u6f22\u5b57" * 45
+    rows = [(1, f"x\n{a}\n{b}\ny"), (2, f"{a}\n{b}\nz"), (3, f"q\n{a}\n{c}"), (4, f"{a}\n{c}\n{a}"), (5, f"{c}\n{a}"), (6, f"r\n{han}"), (7, f"{han}\ns"), (8, f"{han[:30]}\nt"), (9, f"{han[:30]}\nu")]
+    got = {r["doc_id"]: r["deleted"] for r in line_dedup.repeated_lines(table(spark, rows), long_line=39).collect()}
+    assert got == {1: [], 2: [0, 1], 3: [], 4: [0, 1], 5: [0, 1], 6: [], 7: [0], 8: [], 9: []}
+
+
+@pytest.mark.parametrize("min_lines", [3, 6])
+def test_line_dedup_words(spark, min_lines):
+    rng = random.Random(min_lines)
+    lines = ["a a a", "b", "c c c c c", "d d"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(9)))) for i in range(20)]
+    want, seen = {}, set()
+    for i, t in rows:
+        x, gone = t.split("\n"), set()
+        for p in range(len(x)):
+            for n in range(1, min_lines + 1):
+                run = tuple(x[p : p + n])
+                if len(run) == n:
+                    if run in seen and (n == min_lines or sum(len(s.split()) for s in run) >= 9):
+                        gone |= set(range(p, p + n))
+                    seen.add(run)
+        want[i] = sorted(gone)
+    got = {r["doc_id"]: r["deleted"] for r in line_dedup.repeated_lines(table(spark, rows), min_lines, 9).collect()}
+    assert got == want
+
+
 def test_licences(spark, nothing):
     rows = [(1, "prose here\nReleased under the MIT License.\nmore"), (2, "RELEASED under: the MIT licence"), (3, None), (4, "Licensed under the Apache License, Version 2.0."), (5, ""), (1, "Released under the MIT License."), (6, "word " * 9000)]
     got = {(r["doc_id"], r["license_id"]): r["dice"] for r in licences.scan(table(spark, rows)).collect()}

@@ -3,9 +3,10 @@
 The corpus is a sequence of line IDs, cut at document ends.  Doubling ranks every position by the
 1, 2, 4, ... lines that begin there: the pair of ranks at p and p + 2^k is sorted into one rank, over
 all positions at once.  Positions with one rank are an interval of the suffix array whose longest common
-prefix is at least that deep.  A run of lines is repeated if it is at least `min_lines` deep in such
-an interval; as overlapping windows of that depth make up every longer maximal run,
-doubling stops at the depth that decides.  The first copy stays, later ones are deleted.
+prefix is at least that deep.  A run of lines is deleted if it is at least `min_lines` deep in such
+an interval, or less deep with `long_line` words in all; as overlapping windows of `min_lines` make up
+every longer maximal run, doubling stops at the depth that decides, and the depths between the powers
+of two are ranked too.  The first copy stays, later ones are deleted.
 
 Positions whose rank is unique leave at once, and a rank that very many
 positions share is dealt to tasks by salt.
@@ -13,14 +14,17 @@ positions share is dealt to tasks by salt.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._work import Work, salt_of
 from .decisions import text_sha
 
-#: Lines from which a repeated run is deleted, and words from which a single repeated line is.
+#: Lines from which a repeated run is deleted, and words from which a repeated run of fewer lines is.
 MIN_LINES, LONG_LINE = 3, 40
+#: Scripts written without blanks, and how many of their characters count as a word.
+UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]+"
+UNSPACED_WORD = 2
 
 _AT = ["doc", "uid", "pos"]
 
@@ -42,33 +46,42 @@ def _ranked(work: Work, rows: DataFrame, keys: list[str], name: str) -> DataFram
     return out
 
 
-def _beside(left: DataFrame, by: int) -> DataFrame:
-    """Positions with the ranks a at p and b at p + by, where both are shared."""
-    right = left.select("uid", (F.col("pos") - by).alias("pos"), F.col("rank").alias("b"))
-    return left.select(*_AT, "words", F.col("rank").alias("a")).join(right, ["uid", "pos"])
+def _beside(left: DataFrame, right: DataFrame, by: int) -> DataFrame:
+    """Positions with left's rank a at p and right's rank b at p + by, where both are shared; words of both."""
+    right = right.select("uid", (F.col("pos") - by).alias("pos"), F.col("rank").alias("b"), F.col("words").alias("more"))
+    both = left.select(*_AT, "words", F.col("rank").alias("a")).join(right, ["uid", "pos"])
+    return both.select(*_AT, (F.col("words") + F.col("more")).alias("words"), "a", "b")
+
+
+def line_words(line: Column) -> Column:
+    """Words between blanks; characters of scripts without blanks count besides, UNSPACED_WORD to the word."""
+    between = F.size(F.split(F.trim(line), r"\s+"))
+    unspaced = F.floor(F.length(F.regexp_replace(line, UNSPACED, "")) / UNSPACED_WORD).cast("int")
+    return F.when(F.octet_length(line) == F.length(line), between).otherwise(between + unspaced)
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> DataFrame:
     """One row per input row: doc_id, sha, lines (how many), deleted (line numbers from 0, sorted).
 
     Documents are in the order of doc_id, null last; of rows with one doc_id, in that of the input.
-    A line is deleted if it lies in a run of `min_lines` lines that has begun earlier in that
-    order, or is a line of at least `long_line` words that occurred earlier.  Lines end at line feeds and
+    A line is deleted if it lies in a run of lines that has begun earlier in that order, and the run has
+    `min_lines` lines, or fewer with at least `long_line` words in all.  Lines end at line feeds and
     are compared byte by byte, by two 64-bit hashes; a null text is one empty line.
     """
     work = Work(docs.sparkSession, "lines")
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    hashed = F.transform(split, lambda s: F.struct(F.xxhash64(s).alias("h"), F.xxhash64(F.lit(1), s).alias("g"), F.size(F.split(F.trim(s), r"\s+")).alias("words")))
+    hashed = F.transform(split, lambda s: F.struct(F.xxhash64(s).alias("h"), F.xxhash64(F.lit(1), s).alias("g"), line_words(s).alias("words")))
     heads = work.save(docs.select("doc_id", text_sha().alias("sha"), F.monotonically_increasing_id().alias("uid"), hashed.alias("x")), "heads")
     lines = heads.select(F.col("doc_id").alias("doc"), "uid", F.posexplode("x").alias("pos", "line")).select(*_AT, "line.h", "line.g", "line.words")
-    one = _ranked(work, lines, ["h", "g"], "depth1")
-    hits = one.filter(F.col("later") & (F.col("words") >= long_line)).select("uid", "pos", F.lit(1).alias("n"))
-    cur, depth = one, 1
-    while depth * 2 <= min_lines:
-        cur, depth = _ranked(work, _beside(cur, depth), ["a", "b"], f"depth{depth * 2}"), depth * 2
-    if depth < min_lines:
-        cur = _ranked(work, _beside(cur, min_lines - depth), ["a", "b"], f"depth{min_lines}")
-    hits = hits.unionByName(cur.filter("later").select("uid", "pos", F.lit(min_lines).alias("n")))
+    at = {1: _ranked(work, lines, ["h", "g"], "depth1")}
+    for depth in range(2, min_lines + 1):
+        half = 1 << (depth - 1).bit_length() - 1  # the largest power of two below depth
+        at[depth] = _ranked(work, _beside(at[half], at[depth - half], half), ["a", "b"], f"depth{depth}")
+    hits = None
+    for depth, ranked in at.items():
+        long = F.lit(True) if depth == min_lines else F.col("words") >= long_line
+        some = ranked.filter(F.col("later") & long).select("uid", "pos", F.lit(depth).alias("n"))
+        hits = some if hits is None else hits.unionByName(some)
     gone = hits.select("uid", F.explode(F.expr("sequence(pos, pos + n - 1)")).alias("pos"))
     gone = work.save(gone.groupBy("uid").agg(F.sort_array(F.collect_set("pos")).alias("deleted")), "gone")
     out = heads.select("doc_id", "sha", "uid", F.size("x").alias("lines")).join(gone, "uid", "left")
