@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -350,6 +351,29 @@ def test_licences(spark, nothing):
     assert licences.scan(nothing).count() == 0
 
 
+def test_licences_across_lines(spark):
+    """Notices that are wrapped, or stand within a longer line, and full licence texts."""
+    prose = "".join(f"some words{i} about{i} nothing{i} at all\n" for i in range(60))
+
+    def wrapped(text, width):
+        return "\n".join(" * " + x for x in textwrap.wrap(text, width))
+
+    t = licences.TEMPLATES
+    bsd = "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n"
+    rows = [
+        (1, prose + wrapped(t["gpl-3.0-header"], 60) + "\n" + prose),
+        (2, wrapped(t["mpl-2.0-header"], 50) + "\n" + prose + wrapped(t["mpl-2.0-header"], 70)),
+        (3, bsd + prose),
+        (4, prose + "A longer line that ends so: " + t["gpl-2.0-notice"] + " And it goes on for some more words, " * 9),
+        (5, "Copyright (c) 2020 Somebody\n\n" + licences.full_texts()["mit"]),
+        (6, prose + licences.full_texts()["isc"] + prose),
+        (7, prose + "Released under\nthe MIT licence\n" + prose),
+    ]
+    got = {(r["doc_id"], r["license_id"]): (r["units"], r["dice"]) for r in licences.scan(table(spark, rows)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(1, "gpl-3.0-header"): 1, (2, "mpl-2.0-header"): 2, (3, "bsd-3-clause-notice"): 1, (4, "gpl-2.0-notice"): 1, (4, "gpl-3.0-notice"): 1, (5, "mit"): 1, (6, "isc"): 1}
+    assert all(v[1] == 1 for k, v in got.items() if k not in ((4, "gpl-3.0-notice"), (5, "mit")))
+
+
 def holdout(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
