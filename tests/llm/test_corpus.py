@@ -430,6 +430,34 @@ def test_language_code_lengths():
     assert both[0, 0] < both[0, 1] and both[2, 1] < both[2, 0] and not both[1].any()
 
 
+def test_language_learns_all(spark):
+    """More than 64 languages, one of them rare and one with long texts only."""
+    rng = random.Random(1)
+    letters = [chr(k) for k in [*range(97, 123), *range(0x3B1, 0x3C9), *range(0x430, 0x44F), *range(0x5D0, 0x5EA), *range(0x905, 0x930), *range(0x4E00, 0x4E20)]]
+    langs = {f"l{k:02}": rng.sample(letters, 8) for k in range(70)}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choices(langs[lang], k=5)) for _ in range(n))
+
+    rows = [(i, text(k, 20), k) for i, k in enumerate([k for k in langs for _ in range(3 if k == "l69" else 8)]) if k != "l68"]
+    rows += [(10_000 + i, text("l68", 4000), "l68") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == sorted(langs)
+    fresh = [(k, text(k, 20).encode()) for k in langs]
+    best, _ = model.predict([t for _, t in fresh])
+    assert [model.languages[i] for i in best] == [k for k, _ in fresh]
+
+
+def test_language_bytes():
+    """Every byte value is a symbol of its own: tables of other languages code unknown bytes as well as all others."""
+    model = langid.fit({k: [(k * 5).encode()] for k in ("a", "b", "c", "d", "\u4e00")})
+    assert isinstance(model, langid.Models) and len(model.parts) == 2
+    for p in model.parts:
+        first = [p.lengths([bytes([b])])[0] for b in range(1, 256)]
+        assert np.allclose(np.exp2(-np.array(first)).sum(0), 1, atol=0.01)
+
+
 def test_pipeline(spark):
     """Every stage against brute force on its own input."""
     import corpus_pipeline as cp

@@ -6,8 +6,10 @@ shorter, down to equal chances (method C, with exclusion, so that the
 probabilities of a context add up to one).  After training the statistics are frozen, and a text's
 code length under each language is exact.  The language with the shortest code wins.
 
-Frozen trees are a table: per context that any language keeps, one code length per next byte
-and language; a text is scored by two lookups per byte.
+Frozen trees are tables, of GROUP languages each, so that their size is in proportion to the languages: per context
+that any of them keeps, one code length per next byte and language; a text is scored by two lookups per byte and table.
+All 256 byte values are symbols.  Those that a table's languages haven't shown have equal chances in every
+context, so they are one class there, and each of them costs the logarithm of their number besides.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ from pyspark.sql import functions as F
 from .samples import chunks, raw_texts, remainder
 
 ORDER = 3
-#: Training texts per language, the longest of them in characters, languages (the most frequent), contexts kept (the most
-#: frequent), and byte classes (bytes beyond them share the last).
-MOST, LONGEST, LANGUAGES, CONTEXTS, CLASSES = 400, 20_000, 64, 12_000, 128
+#: Training texts per language, the longest of them in characters, and contexts of the full order kept per language (its most frequent).
+MOST, LONGEST, CONTEXTS = 400, 20_000, 3_000
+#: Languages in one table, and for how many all training texts have room; of more languages, each gets fewer characters.
+GROUP, ROOM = 4, 64
 UNKNOWN = "und"
 
 
@@ -35,6 +38,7 @@ class Model:
     classes: np.ndarray  # byte -> class
     context: np.ndarray  # the last ORDER classes, as a number -> row of the table
     table: np.ndarray  # (row * classes + next class) x language: bits
+    foreign: float = 0.0  # bits that tell the bytes of the last class apart
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths in bits, text x language."""
@@ -55,6 +59,8 @@ class Model:
                 i = at[begin[k] : begin[k] + len(texts[a + k])]
                 if len(i):
                     out[a + k] = np.take(self.table, i, axis=0).sum(0, dtype=np.float64)
+                    if self.foreign:
+                        out[a + k] += self.foreign * np.count_nonzero(c[begin[k] + ORDER : begin[k] + ORDER + len(i)] == size - 1)
         return out
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,17 +70,32 @@ class Model:
         return best, 1 / np.exp2(np.minimum(bits.min(1, keepdims=True) - bits, 0)).sum(1)
 
 
-def fit(samples: dict[str, list[bytes]], order: int = ORDER, contexts: int = CONTEXTS, classes: int = CLASSES) -> Model:
+class Models(Model):
+    """Models of further languages side by side."""
+
+    def __init__(self, parts: list[Model]):
+        self.parts, self.languages = parts, [x for p in parts for x in p.languages]
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        return np.hstack([p.lengths(texts) for p in self.parts])
+
+
+def fit(samples: dict[str, list[bytes]], order: int = ORDER, contexts: int = CONTEXTS) -> Model:
     """The model of samples by language; languages in sorted order, which breaks ties."""
     languages = sorted(samples)
+    if len(languages) > GROUP:
+        return Models([fit({k: samples[k] for k in languages[i : i + GROUP]}, order, contexts) for i in range(0, len(languages), GROUP)])
     seen = np.zeros(256, np.int64)
     for texts in samples.values():
         seen += np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
-    frequent = [int(b) for b in np.argsort(-seen, kind="stable")[: classes - 1] if seen[b] and b]
-    cls = np.full(256, len(frequent) + 1, np.uint8)  # bytes that training didn't show
+    frequent = [int(b) for b in np.argsort(-seen, kind="stable") if seen[b] and b]
+    cls = np.full(256, len(frequent) + 1, np.uint16)  # bytes that training didn't show
     cls[0] = 0  # before the text's beginning
     cls[frequent] = np.arange(1, len(frequent) + 1)
     size = len(frequent) + 2
+    equal = np.full(size, 1 / 256)
+    equal[-1] = max(255 - len(frequent), 1) / 256
+    equal /= equal.sum()
     grams: list[list[tuple[np.ndarray, np.ndarray]]] = []  # language, order: (context * size + next, count)
     for lang in languages:
         gap = b"\0" * order
@@ -93,13 +114,13 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, contexts: int = CON
                 code += c[end - j] * size**j
             own.append(np.unique(code, return_counts=True))
         grams.append(own)
-    # The contexts to keep: the most frequent of the full order over all languages.
-    weight: dict[int, int] = {}
+    # The contexts to keep: each language's most frequent of the full order.
+    most: set[int] = set()
     for own in grams:
         code, n = own[order]
-        for ctx, m in zip(*_totals(code // size, n), strict=True):
-            weight[int(ctx)] = weight.get(int(ctx), 0) + int(m)
-    kept = [k for k, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:contexts]]
+        ctx, m = _totals(code // size, n)
+        most |= {int(x) for x in ctx[np.lexsort((ctx, -m))[:contexts]]}
+    kept = sorted(most)
     # Rows: the empty context, then all of one byte, then all of two that any language has, then the kept ones.
     rows: list[tuple[int, ...]] = [()]
     for k in range(1, order):
@@ -118,7 +139,7 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, contexts: int = CON
         for i, r in enumerate(rows):
             k, x = r if r else (0, 0)
             # One byte shorter: without the oldest; a shorter context that no language has falls back further.
-            lower = np.full(size, 1 / size)
+            lower = equal
             if r:
                 j, y = k - 1, x % size ** (k - 1)
                 while j and (j, y) not in number:
@@ -132,7 +153,7 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, contexts: int = CON
         if own_rows:
             x, i = np.array(own_rows).T
             context.reshape(size ** (order - k), -1)[:, x] = i
-    return Model(languages, cls, context, table.reshape(len(rows) * size, len(languages)))
+    return Model(languages, cls, context, table.reshape(len(rows) * size, len(languages)), float(np.log2(max(255 - len(frequent), 1))))
 
 
 def _totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,21 +181,27 @@ def _mixed(follow: tuple[np.ndarray, np.ndarray] | None, lower: np.ndarray) -> n
 def train(docs: DataFrame, most: int = MOST, longest: int = LONGEST) -> Model | None:
     """Learns from text and lang of rows whose lang isn't null and crc32(doc_id) mod 4 isn't 2.
 
-    Languages are counted over all such rows; of each, `most` texts of at most `longest`
-    characters are drawn in the order of a hash.  None if there is no such row.
+    Every language that has a text is learned.  `most` texts of at most `longest` characters are drawn in the order of a hash;
+    of a language that has longer ones only, their first `longest` characters.  None if there is no such row.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & (remainder(4) != 2))
-    usable = rows.filter((F.length("text") > 0) & (F.length("text") <= longest))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    rows = docs.filter(F.col("lang").isNotNull() & (remainder(4) != 2) & (F.length("text") > 0))
+    short = F.length("text") <= longest
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("short")).collect()
     if not counts:
         return None
     # A drawn share of twice what's needed, then the first of each language.
     reach = 1 << 30
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(reach, max(2 * most, most + 50) * reach // r["n"])))])
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(reach, max(2 * most, most + 50) * reach // (r["short"] or r["n"]))))])
+    long = [r["lang"] for r in counts if not r["short"]]
+    usable = rows.filter(short | F.col("lang").isin(long)).withColumn("text", F.substring("text", 1, longest)) if long else rows.filter(short)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(reach))
     drawn = usable.select("doc_id", "lang", "text", draw.alias("draw")).filter(F.col("draw") < F.element_at(share, F.col("lang")))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))
-    got = drawn.withColumn("rn", first).filter(F.col("rn") <= most).select("lang", "text").collect()
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    first = drawn.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most)
+    if len(counts) > ROOM:
+        before = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        first = first.withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < most * longest * ROOM // len(counts))
+    got = first.select("lang", "text").collect()
     samples: dict[str, list[bytes]] = {}
     for r in got:
         samples.setdefault(r["lang"], []).append(r["text"].encode())
