@@ -374,6 +374,12 @@ def test_licences_across_lines(spark):
     assert all(v[1] == 1 for k, v in got.items() if k not in ((4, "gpl-3.0-notice"), (5, "mit")))
 
 
+def test_licences_long_unit(spark):
+    """A line of over 20,000 words that repeats one notice, which the SQL leaves out."""
+    got = licences.scan(table(spark, [(1, "Released under the MIT License. " * 4500)])).collect()
+    assert [tuple(r) for r in got] == [(1, "mit-notice", 1, 0.888889)]
+
+
 def holdout(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
