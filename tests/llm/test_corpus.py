@@ -125,6 +125,20 @@ def test_links(spark, small):
     assert got == want
 
 
+@pytest.mark.parametrize("small", [0, 24])
+def test_links_radius_1(spark, small):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    bits = [rng.sample(range(64), 4) for _ in base]
+    fps = sorted({0b1111, 0b1110, 0b0111, 0b1010} | {b ^ sum(1 << x for x in rng.sample(k, rng.randrange(4))) for b, k in zip(base, bits, strict=True) for _ in range(7)})
+    want = union_find(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 1])
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    found = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.links(df, radius=1, small=small).collect()]
+    at = {x: i for i, x in enumerate(fps)}
+    assert all((a ^ b).bit_count() == 1 for a, b in found)
+    assert union_find(len(fps), [(at[a], at[b]) for a, b in found]) == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(200, i) for i in range(201, 240)] + [(5, 5), (None, 3)]

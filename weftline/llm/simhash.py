@@ -100,7 +100,9 @@ def links(fps: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFrame
     flips = F.element_at(F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(x).cast("long") for x in o]) for o in outside]), F.col("t") + 1)
     mid = rows.filter(F.col("n") > small).select("fp", F.explode(flips).alias("flip"))
     mid = mid.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid")).groupBy("mid").agg(F.collect_set("fp").alias("fps"))
-    many = mid.filter("size(fps) > 1").select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
+    # At radius 1 those that meet may be two bits apart: each is linked with the one that the value itself is.
+    hub = mid.withColumn("a", F.array_min("fps")) if radius == 2 else mid.filter(F.array_contains("fps", F.col("mid"))).withColumn("a", F.col("mid"))
+    many = hub.filter("size(fps) > 1").select("a", F.explode("fps").alias("b")).filter("a <> b")
     many = many.filter(_distance(F.col("a"), F.col("b")) <= radius)
     return work.save(few.unionByName(many).distinct(), "links")
 
