@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the component's smallest node) of edges (a, b).
@@ -14,9 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")).checkpoint()
     while True:

@@ -7,8 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .vectors import Folded, fold, folded_cosine, term_numbers
+
 #: Rows of an index block that one task holds.
 KNN_BLOCK = 8192
+#: Index vectors that a query's first look meets, times k; the square is for its rarest term alone.
+LOOK = 16
 
 
 def top(rows: DataFrame, k: int, key: str = "q", other: str = "d") -> DataFrame:
@@ -17,14 +22,50 @@ def top(rows: DataFrame, k: int, key: str = "q", other: str = "d") -> DataFrame:
     return rows.withColumn("rn", rank).filter(F.col("rn") <= k).drop("rn")
 
 
-def topk_cosine(q: DataFrame, d: DataFrame, k: int, threshold: float) -> DataFrame:
-    """q, d, s: of vectors (id, term, w), each query's k nearest of at least the threshold.
+def _first(x: Folded, k: int) -> DataFrame:
+    """vid and id: the k smallest ids of each distinct vector."""
+    return x.ids.withColumn("rn", F.row_number().over(Window.partitionBy("vid").orderBy("id"))).filter(F.col("rn") <= k).drop("rn")
+
+
+def _postings(x: Folded) -> DataFrame:
+    """vid, n, t, rest: each term of a vector and the length of the vector from this term on, rarest terms first."""
+    # Rounded up: rest only ever bounds a product from above.
+    rest = F.transform(F.sequence(F.lit(1), F.size("ws")), lambda i: F.sqrt(F.aggregate(F.slice("ws", i, F.size("ws")), F.lit(0.0), lambda s, w: s + w * w)) + 2e-6)
+    return x.rows.select("vid", "n", "ts", F.posexplode(rest).alias("i", "rest")).select("vid", "n", F.get("ts", F.col("i")).alias("t"), "rest", "i")
+
 
-    An inverted-index join on terms; callers bound document frequencies and terms per vector.
+def topk_cosine(q: DataFrame | Folded, d: DataFrame | Folded, k: int, threshold: float) -> DataFrame:
+    """q, d, s: of vectors (id, term, w), each query's k nearest of at least the threshold (over 0).  Exact, ties by id.
+
+    Equal vectors are searched once.  A first look at each query's rarest terms gives a lower bound of its k-th best
+    score.  Then, with terms in the order of their frequency, a pair can only reach the bound if the two vectors from
+    their first common term on are long enough, as the product of these lengths is the most that the cosine can be: so frequent terms,
+    which stand at the vectors' ends, hardly ever bring a pair up.
     """
-    a, b = q.select(F.col("id").alias("q"), "term", F.col("w").alias("wq")), d.select(F.col("id").alias("d"), "term", F.col("w").alias("wd"))
-    s = a.join(b, "term").groupBy("q", "d").agg(F.round(F.sum(F.col("wq") * F.col("wd")), 6).alias("s"))
-    return top(s.filter(F.col("s") >= threshold), k)
+    if not isinstance(q, Folded):
+        numbers = term_numbers(d)
+        q, d = fold(q, numbers), fold(d, numbers)
+    a = written(_postings(q).drop("n").withColumnRenamed("vid", "q"), "query_postings")
+    b = written(_postings(d).withColumnRenamed("vid", "d"), "index_postings")
+    common = b.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    # The first look: the rarest term, and further ones while few index vectors have them.
+    met = F.sum("df").over(Window.partitionBy("q").orderBy("i"))
+    look = a.join(common, "t").withColumn("met", met).filter((F.col("met") <= LOOK * k) | (F.col("i") == 0)).filter(F.col("df") <= LOOK * LOOK * k)
+    near = look.select("q", "t").join(b.select("d", "n", "t"), "t").groupBy("q", "d").agg(F.first("n").alias("n"))
+    near = folded_cosine(near, q, d).filter(F.col("s") >= threshold)
+    before = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("s"), "d")) - F.col("n")
+    bound = near.withColumn("before", before).filter(F.col("before") < k).groupBy("q").agg(F.min("s").alias("least"), F.sum("n").alias("n"))
+    bound = written(bound.filter(F.col("n") >= k).select("q", "least"), "bounds")
+    a = a.join(bound, "q", "left").withColumn("least", F.coalesce("least", F.lit(threshold)))
+    a = a.filter(F.col("rest") >= F.col("least"))
+    pairs = a.select("q", "t", "rest", "least").join(b.filter(F.col("rest") >= threshold).select("d", "t", F.col("rest").alias("more")), "t")
+    pairs = pairs.filter(F.col("rest") * F.col("more") >= F.col("least")).groupBy("q", "d").agg(F.first("least").alias("least"))
+    found = folded_cosine(pairs, q, d).filter(F.col("s") >= F.col("least"))
+    # A vector's smallest id stands for it: where k vectors come before it, none of its ids is among the first k.
+    best = written(top(found.select("q", "d", "s"), k), "best_vectors")
+    each = best.join(_first(d, k).withColumnRenamed("vid", "d"), "d").select("q", F.col("id").alias("d"), "s")
+    each = written(top(each, k), "best")
+    return q.ids.withColumnRenamed("vid", "q").join(each, "q").select(F.col("id").alias("q"), "d", "s")
 
 
 def joint(name: DataFrame, addr: DataFrame) -> DataFrame:
@@ -51,24 +92,28 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(q: DataFrame, d: DataFrame, k: int, exclude_same: bool = False, blocks: int | None = None) -> DataFrame:
-    """q, d, s: exact k nearest by inner product of vectors (id, v); nulls have no neighbours.
+def knn(q: DataFrame, d: DataFrame, k: int, exclude_same: bool = False, blocks: int | None = None, by: str | None = None) -> DataFrame:
+    """q, d, s: exact k nearest by inner product of vectors (id of any type, v); nulls have no neighbours.
 
     Queries and index rows are each dealt into blocks; every pair of blocks is one matrix
-    product in one task, which passes on each query's k best alone.  Work is the product of the sizes, as for any exact
-    search; for few queries against all rows that is one pass.
+    product in one task, which passes on each query's k best alone.  With by, a column of both sides, only rows that agree in it
+    meet.  Work is the product of the sizes, as for any exact search; for few queries against all rows that is one pass.
     """
-    d, q = d.filter("v is not null"), q.filter("v is not null")
-    q, d = (x.select(F.col("id").alias("id"), F.col("v").alias("v")) for x in (q, d))
+    d, q = (x.filter("v is not null").select("id", "v", (F.col(by).cast("string") if by else F.lit("")).alias("g")) for x in (d, q))
+    kind = q.schema["id"].dataType.simpleString()
+    if d.schema["id"].dataType.simpleString() != kind:
+        raise ValueError("ids of both sides must have one type")
     n = blocks or max(1, -(-d.count() // KNN_BLOCK))
     m = max(1, -(-q.count() // KNN_BLOCK))
-    left = q.select(F.lit("q").alias("side"), F.col("id"), F.col("v"), F.pmod(F.xxhash64("id"), F.lit(m)).cast("long").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("n"))
-    right = d.select(F.lit("d").alias("side"), F.col("id"), F.col("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("m"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("long").alias("n"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    own = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    left = q.select("g", F.lit(True).alias("asks"), "id", "v", own(m).alias("m"), every(n).alias("n"))
+    right = d.select("g", F.lit(False).alias("asks"), "id", "v", every(m).alias("m"), own(n).alias("n"))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == "q"], pdf[pdf.side == "d"].sort_values("id")
+        a, b = pdf[pdf.asks], pdf[~pdf.asks].sort_values("id")
         if not len(a) or not len(b):
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "d": pd.Series(dtype="int64"), "s": pd.Series(dtype="float64")})
+            return pd.DataFrame({"q": pdf.id[:0], "d": pdf.id[:0], "s": pd.Series(dtype="float64")})
         x, y = np.stack(a.v.to_numpy()).astype(np.float64), np.stack(b.v.to_numpy()).astype(np.float64)
         ids, out = b.id.to_numpy(), []
         for at in range(0, len(x), 512):
@@ -81,10 +126,36 @@ def knn(q: DataFrame, d: DataFrame, k: int, exclude_same: bool = False, blocks:
         got = pd.concat(out)
         return got[np.isfinite(got.s)]
 
-    parts = left.unionByName(right).groupBy("m", "n").applyInPandas(best, "q long, d long, s double")
+    parts = left.unionByName(right).groupBy("g", "m", "n").applyInPandas(best, f"q {kind}, d {kind}, s double")
     return top(parts, k)
 
 
+def known(pairs: DataFrame, index: DataFrame, query: DataFrame) -> DataFrame:
+    """pairs (q, d, s) whose ids index (d) and query (q) have; others are dropped."""
+    return pairs.join(index.select("d"), "d", "left_semi").join(query.select("q"), "q", "left_semi").select("q", "d", "s")
+
+
+def twins(a: DataFrame, b: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """a, b, s: each vector's k nearest of the other source, both ways."""
+    there, back = knn(a, b, k, by=by), knn(b, a, k, by=by)
+    return there.unionByName(back).select(F.col("q").alias("a"), F.col("d").alias("b"), "s")
+
+
+def vector_cosine(pairs: DataFrame, embeddings: DataFrame, name: str = "dense_cos") -> DataFrame:
+    """pairs (q, d) with the inner product of both ids' embeddings (id, v).  An id without one fails the run, as a silent 0 would pass for a score."""
+    e = embeddings.select("id", "v")
+    rows = pairs.join(e.select(F.col("id").alias("q"), F.col("v").alias("x")), "q", "left").join(e.select(F.col("id").alias("d"), F.col("v").alias("y")), "d", "left")
+    lost = F.raise_error(F.concat(F.lit("no embedding for "), F.when(F.col("x").isNull(), F.col("q").cast("string")).otherwise(F.col("d").cast("string"))))
+    return rows.withColumn(name, F.when(F.col("x").isNull() | F.col("y").isNull(), lost.cast("double")).otherwise(F.round(dot(F.col("x"), F.col("y")), 6))).drop("x", "y")
+
+
+def recall_at(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """found, true_pairs, recall: how many true pairs (q, d) a search has found."""
+    true = truth.select("q", "d").distinct()
+    hit = true.join(found.select("q", "d").distinct().withColumn("hit", F.lit(1)), ["q", "d"], "left")
+    return hit.agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("true_pairs"), F.round(F.count("hit") / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("recall"))
+
+
 def expand_links(pairs: DataFrame, links: DataFrame, n: int) -> DataFrame:
     """q, d, link: for each d's n best pairs (by s), the twins of q that aren't its pairs yet, with the best link score.
 

@@ -1,11 +1,14 @@
-"""TF-IDF vectors as long tables (id, term, w), and cosines of given pairs."""
+"""TF-IDF vectors as long tables (id, term, w), folded vectors, and cosines of given pairs."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_grams
+from ..sources.scratch import written
 
 
 def analyze(col: Column, analyzer: str, low: int = 3, high: int = 4) -> Column:
@@ -38,8 +41,58 @@ def weigh(counts: DataFrame, idfs: DataFrame, max_nnz: int | None = None) -> Dat
     return rows.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(w)))
 
 
-def pair_cosine(pairs: DataFrame, q: DataFrame, d: DataFrame, name: str = "cos") -> DataFrame:
-    """pairs (q, d) with the cosine of their vectors, 0 where they share no term."""
-    a, b = q.select(F.col("id").alias("q"), "term", F.col("w").alias("wq")), d.select(F.col("id").alias("d"), "term", F.col("w").alias("wd"))
-    got = pairs.select("q", "d").join(a, "q").join(b, ["d", "term"]).groupBy("q", "d").agg(F.round(F.sum(F.col("wq") * F.col("wd")), 6).alias(name))
-    return pairs.join(got, ["q", "d"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+@dataclass
+class Folded:
+    """Vectors as sorted arrays, each distinct one once.
+
+    ids has id and vid (the smallest id with that vector); rows has vid, n (how many ids), ts (term numbers, the rarest term
+    first) and ws (their weights).
+    """
+
+    ids: DataFrame
+    rows: DataFrame
+
+
+def term_numbers(index: DataFrame) -> DataFrame:
+    """term, t, df of the index's vectors: t grows with the document frequency, so that sorted vectors begin with their rarest terms."""
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return written(df.repartitionByRange("df", "term").sortWithinPartitions("df", "term").withColumn("t", F.monotonically_increasing_id()), "term_numbers")
+
+
+def fold(vecs: DataFrame, numbers: DataFrame) -> Folded:
+    """Folds (id, term, w); terms that numbers hasn't are left out, and ids without any other."""
+    each = vecs.join(numbers.select("term", "t"), "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("t", "w"))).alias("x"))
+    # Weights that differ in their last bits alone are the same vector's.
+    each = written(each.select("id", F.col("x.t").alias("ts"), F.col("x.w").alias("ws"), F.transform("x", lambda e: F.round(e["w"], 9)).alias("key")), "folding")
+    some = each.groupBy("ts", "key").agg(F.min("id").alias("vid"), F.count(F.lit(1)).alias("n"), F.min_by("ws", "id").alias("ws"))
+    some = written(some, "folded")
+    ids = written(each.select("id", "ts", "key").join(some.select("ts", "key", "vid"), ["ts", "key"]).select("id", "vid"), "folded_ids")
+    return Folded(ids, some.select("vid", "n", "ts", "ws"))
+
+
+def array_dot(ts: Column, ws: Column, us: Column, vs: Column) -> Column:
+    """Inner product of two vectors, each as arrays of term numbers and weights."""
+    at = lambda keys, values, t: F.element_at(values, F.array_position(keys, t).cast("int"))
+    return F.aggregate(F.array_intersect(ts, us), F.lit(0.0), lambda s, t: s + at(ts, ws, t) * at(us, vs, t))
+
+
+def folded_cosine(pairs: DataFrame, q: Folded, d: Folded) -> DataFrame:
+    """pairs (q, d: vids) with s, to six digits."""
+    a = q.rows.select(F.col("vid").alias("q"), F.col("ts").alias("qt"), F.col("ws").alias("qw"))
+    b = d.rows.select(F.col("vid").alias("d"), F.col("ts").alias("dt"), F.col("ws").alias("dw"))
+    rows = pairs.join(a, "q").join(b, "d")
+    return rows.withColumn("s", F.round(array_dot(F.col("qt"), F.col("qw"), F.col("dt"), F.col("dw")), 6)).drop("qt", "qw", "dt", "dw")
+
+
+def pair_cosine(pairs: DataFrame, q: DataFrame | Folded, d: DataFrame | Folded, name: str = "cos") -> DataFrame:
+    """pairs (q, d) with the cosine of their vectors, 0 where they share no term.
+
+    Cosines are computed once per pair of distinct vectors.
+    """
+    if not isinstance(q, Folded):
+        numbers = term_numbers(d)
+        q, d = fold(q, numbers), fold(d, numbers)
+    own = pairs.select("q", "d").join(q.ids.select(F.col("id").alias("q"), F.col("vid").alias("qv")), "q").join(d.ids.select(F.col("id").alias("d"), F.col("vid").alias("dv")), "d")
+    own = written(own, "pair_vids")
+    got = folded_cosine(own.select(F.col("qv").alias("q"), F.col("dv").alias("d")).distinct(), q, d).select(F.col("q").alias("qv"), F.col("d").alias("dv"), F.col("s").alias(name))
+    return pairs.join(own.join(written(got, "vid_cosines"), ["qv", "dv"]).drop("qv", "dv"), ["q", "d"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))

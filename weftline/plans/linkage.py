@@ -9,6 +9,9 @@ from ..operators import canon, decide, merge, retrieve, vectors
 from ..sources.scratch import written
 from .config import Channel, LinkageConfig
 
+#: The views whose cosines rank the pairs, name first.
+MAIN_VIEWS = ("name_sq", "addr")
+
 
 def keyed(rows: DataFrame, *columns: str) -> DataFrame:
     """id and each column with the country before it; empty stays empty."""
@@ -28,26 +31,67 @@ def view_vectors(index: DataFrame, query: DataFrame, channel: Channel, config: L
     return written(vectors.weigh(a, known, nnz), "index"), written(vectors.weigh(b, known, nnz), "query")
 
 
-def candidates(index: DataFrame, query: DataFrame, config: LinkageConfig) -> DataFrame:
-    """q, d, the channels' scores and s, of canonical records: exact keys, each view's nearest, and the joint one's."""
-    found = {"exact": retrieve.exact_join(keyed(index, "name_c", "name_sq", "addr_c"), keyed(query, "name_c", "name_sq", "addr_c"), ["name_c", "name_sq", "addr_c"], config.exact_bucket).withColumn("s", F.lit(1.0))}
-    kept = {}
+def search_views(index: DataFrame, query: DataFrame, config: LinkageConfig) -> tuple[dict[str, DataFrame], dict[str, tuple[vectors.Folded, vectors.Folded]]]:
+    """(the pairs of each channel, the folded vectors (query, index) of the two main views)."""
+    keys = ["name_c", "name_sq", "addr_c"]
+    found = {"exact": retrieve.exact_join(keyed(index, *keys), keyed(query, *keys), keys, config.exact_bucket).withColumn("s", F.lit(1.0))}
+    long, folded = {}, {}
     for name, channel in config.views().items():
         d, q = view_vectors(index, query, channel, config, config.nnz())
-        kept[name] = d, q
-        found[name] = retrieve.topk_cosine(q, d, channel.k, channel.threshold)
-    (dn, qn), (da, qa) = kept["name_sq"], kept["addr"]
+        numbers = vectors.term_numbers(d)
+        pair = vectors.fold(q, numbers), vectors.fold(d, numbers)
+        found[name] = retrieve.topk_cosine(*pair, channel.k, channel.threshold)
+        if name in MAIN_VIEWS:
+            long[name], folded[name] = (q, d), pair
+    (qn, dn), (qa, da) = (long[v] for v in MAIN_VIEWS)
     found["joint"] = retrieve.topk_cosine(retrieve.joint(qn, qa), retrieve.joint(dn, da), config.joint_k, config.joint_threshold)
+    return found, folded
+
+
+def candidates(index: DataFrame, query: DataFrame, config: LinkageConfig, dense: DataFrame | None = None, links: DataFrame | None = None, embeddings: DataFrame | None = None) -> DataFrame:
+    """q, d, name_cos, addr_cos, exact_hit, block_score, dense_cos and a column ch_* per channel, of canonical records.
+
+    Channels are exact keys, each view's nearest, the joint view's, and with dense (q, d, s: vector neighbours) and links
+    (a, b, s: twins among the query records) these too.  embeddings (id, v) give dense_cos of all pairs.  A pair stays by its
+    score or if dense or links have it.
+    """
+    found, folded = search_views(index, query, config)
+    if dense is not None:
+        found["dense"] = retrieve.known(dense, index.select(F.col("entity_id").alias("d")), query.select(F.col("entity_id").alias("q")))
     merged = written(merge.merge_channels(found), "pairs")
-    merged = vectors.pair_cosine(vectors.pair_cosine(merged, qn, dn, "name_cos"), qa, da, "addr_cos")
-    score = merge.combine(F.col("name_cos"), F.col("addr_cos"), F.col("exact"), config.score_mode)
-    return merged.withColumn("s", F.round(score, 6)).filter(F.col("s") >= config.min_score)
+
+    def rescored(pairs: DataFrame) -> DataFrame:
+        for view, name in zip(MAIN_VIEWS, ("name_cos", "addr_cos"), strict=True):
+            pairs = vectors.pair_cosine(pairs, *folded[view], name)
+        score = merge.combine(F.col("name_cos"), F.col("addr_cos"), F.col("exact"), config.score_mode)
+        return written(pairs.withColumn("block_score", F.round(score, 6)), "rescored")
+
+    merged = rescored(merged).withColumn("link", F.lit(0.0))
+    if links is not None:
+        own = query.select("entity_id")
+        links = links.join(own.withColumnRenamed("entity_id", "a"), "a", "left_semi").join(own.withColumnRenamed("entity_id", "b"), "b", "left_semi")
+        new = retrieve.expand_links(merged.select("q", "d", F.col("block_score").alias("s")), links, config.links_top)
+        none = {c: F.lit(0.0) for c in found}
+        merged = merged.unionByName(rescored(new.select("q", "d", "link").withColumns(none)))
+    missing = {c: F.lit(0.0) for c in merge.CHANNELS if c not in merged.columns}
+    merged = merged.withColumns(missing)
+    if embeddings is None:
+        merged = merged.withColumn("dense_cos", F.lit(0.0))
+    else:
+        merged = retrieve.vector_cosine(merged, embeddings)
+    keep = (F.col("block_score") >= config.min_score) | (F.col("dense") > 0) | (F.col("link") > 0)
+    channels = [F.col(c).alias(f"ch_{c}") for c in merge.CHANNELS]
+    return merged.filter(keep).select("q", "d", "name_cos", "addr_cos", F.col("exact").alias("exact_hit"), "block_score", "dense_cos", *channels)
+
+
+def canonical_sides(s1: DataFrame, others: DataFrame, maps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return tuple(written(canon.canonical(canon.basic(r), maps), "canonical") for r in (s1, others))
 
 
 def link(s1: DataFrame, others: DataFrame, config: LinkageConfig | None = None, maps: DataFrame | None = None) -> DataFrame:
     """s1, matched of raw records, without a trained model: half of the block score stands for the chance."""
     config = config or LinkageConfig()
-    index, query = (written(canon.canonical(canon.basic(r), maps), "canonical") for r in (s1, others))
-    pairs = merge.prune_top(candidates(index, query, config), "d", "q", "s", config.stage2_m, config.min_score)
-    scored = pairs.select(F.col("d").alias("s1"), F.col("q").alias("cand"), F.least(F.lit(1.0), F.col("s") / 2).alias("p"))
+    index, query = canonical_sides(s1, others, maps)
+    pairs = merge.prune_top(candidates(index, query, config), "d", "q", "block_score", config.stage2_m, config.min_score)
+    scored = pairs.select(F.col("d").alias("s1"), F.col("q").alias("cand"), F.least(F.lit(1.0), F.col("block_score") / 2).alias("p"))
     return decide.to_submission(decide.choose(scored), s1.select(F.col("entity_id").alias("s1")))

@@ -2,22 +2,55 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: The folder of this process's tables by application, removed at exit.
+_roots: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.  Where it is unset, a temporary one on a single machine; a cluster's
+    executors would each write to their own disks, so there it is an error."""
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="weftline-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def remove(path: str, conf) -> None:
+    """Deletes a folder of scratch files; conf is the session's Hadoop configuration."""
+    from pyspark import SparkContext
+
+    try:
+        where = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # noqa: BLE001  the JVM may have ended; the files are scratch
+        return
+
+
+def scratch_root(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        _roots[app] = f"{shared_dir(spark)}/weftline/linkage-{uuid.uuid4().hex}"
+        atexit.register(remove, _roots[app], spark.sparkContext._jsc.hadoopConfiguration())
+    return _roots[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once and read back: later steps neither recompute it nor carry its plan, and a lost executor loses nothing.
 
-    The folder is the one that spark.checkpoint.dir names; a temporary one only where that is unset.
+    The tables of a process are removed when it ends.
     """
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
