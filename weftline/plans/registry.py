@@ -164,6 +164,23 @@ def name_norm_ascii(spark, sf):
     return view(spark, sf, "s1").select("entity_id", text.name_norm(F.col("business_name"), accents=False).alias("name"))
 
 
+#: Names in which each rule of name_norm has something to do, by the number of the part.
+_RULES = """CASE p_partkey % 9 WHEN 0 THEN concat('O', chr(39), p_name, ' d', chr(39), 'or') WHEN 1 THEN concat('Bo1d 5and ', replace(p_name, 'e', '6'), ' x1 9') WHEN 2 THEN concat(p_name, ' D.B.A. Zeta W0rks')
+WHEN 3 THEN concat('Quill a/k/a ', p_name) WHEN 4 THEN concat(p_name, ' Trading As ', p_type) WHEN 5 THEN concat('24x7 3M ', p_name, ' P/L.') WHEN 6 THEN 'Formerly' WHEN 7 THEN concat('Œuf Straße & Façade+', p_name) ELSE concat('Ύδρα ', p_name, ' S.p.A.') END"""
+
+
+@query(rf"""WITH a AS (SELECT p_partkey, {_RULES} AS x FROM part),
+b AS (SELECT p_partkey, regexp_replace(regexp_replace(x, '\b([A-Za-z])[./]([A-Za-z])[./]([A-Za-z])\b\.?', '\1\2\3', 'g'), '\b([A-Za-z])[./]([A-Za-z])\b\.?', '\1\2', 'g') AS x FROM a),
+c AS (SELECT p_partkey, replace(replace(replace(strip_accents(regexp_replace(x, '([a-zA-Z])\x27([a-zA-Z])', '\1\2', 'g')), 'Œ', 'oe'), 'ß', 'ss'), '+', ' & ') AS x FROM b),
+d AS (SELECT p_partkey, string_split(trim(regexp_replace(lower(replace(x, '&', ' and ')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' ') AS t FROM c),
+e AS (SELECT p_partkey, array_to_string(list_transform(t, lambda w: CASE WHEN regexp_full_match(w, '[a-z0-9]+') AND regexp_matches(w, '[a-z]') AND regexp_matches(w, '[0-9]') THEN translate(w, '01568', 'olsgb') ELSE w END), ' ') AS x FROM d),
+f AS (SELECT p_partkey, x, regexp_replace(x, '^.*\b(dba|fka|aka|formerly|doing business as|trading as|ta)\b\s*', '') AS y FROM e)
+SELECT p_partkey, CASE WHEN y = '' THEN x ELSE y END AS name, p_partkey % 9 = 8 AS foreign_script FROM f""")
+def name_norm_rules(spark, sf):
+    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.expr(_RULES).alias("x"))
+    return rows.select("p_partkey", text.name_norm(F.col("x")).alias("name"), text.has_non_latin(F.col("x")).alias("foreign_script"))
+
+
 @query(f"{_B} SELECT entity_id, array_to_string({_NUMS.format(a='addr_b')}, ' ') AS nums FROM b")
 def address_numbers(spark, sf):
     rows = view(spark, sf, "recs")
@@ -346,9 +363,18 @@ def combine_modes(spark, sf):
     return _rescored(spark, sf).select("q", "d", *[r6(merge.combine(*c, mode) + OFF, mode) for mode in ("sum", "weighted", "geometric", "robust")])
 
 
-@query(f"{_M}, t AS (SELECT source1_entity_id AS d, unnest(string_split(matched_entity_ids, ',')) AS q FROM truth), h AS (SELECT m.* FROM m SEMI JOIN t USING (q, d)) SELECT CASE WHEN exact > 0 THEN 'exact' WHEN name > 0 THEN 'name' ELSE 'addr' END AS channel, count(*) AS n FROM h WHERE CAST(exact > 0 AS INT) + CAST(name > 0 AS INT) + CAST(addr > 0 AS INT) = 1 GROUP BY 1")
+@query(f"""{_E}, {_channel_sql(_WIDE['name_sq'], 'n')}, {_channel_sql(_WIDE['addr'], 'a')},
+sn AS (SELECT a.id AS q, b.id AS d, round(sum(a.w * b.w), 6) AS s FROM nqv a JOIN ndv b ON a.term = b.term GROUP BY 1, 2),
+sa AS (SELECT a.id AS q, b.id AS d, round(sum(a.w * b.w), 6) AS s FROM aqv a JOIN adv b ON a.term = b.term GROUP BY 1, 2),
+un AS (SELECT q, d, 'exact' AS ch FROM ex UNION ALL SELECT q, d, 'name' FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS rn FROM sn WHERE s >= 0.32) WHERE rn <= 1
+ UNION ALL SELECT q, d, 'addr' FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS rn FROM sa WHERE s >= 0.30) WHERE rn <= 1),
+t AS (SELECT source1_entity_id AS d, unnest(string_split(matched_entity_ids, ',')) AS q FROM truth),
+h AS (SELECT q, d, min(ch) AS channel FROM un SEMI JOIN t USING (q, d) GROUP BY 1, 2 HAVING count(*) = 1) SELECT channel, count(*) AS n FROM h GROUP BY 1""")
 def sole_channel(spark, sf):
-    return merge.sole_channel(_merged(spark, sf)[0], tables.truth_pairs(view(spark, sf, "truth")), ["exact", "name", "addr"])
+    index, other = _sides(spark, sf)
+    (dn, qn), (da, qa) = (linkage.view_vectors(index, other, _WIDE[c], _CONFIG, 28) for c in ("name_sq", "addr"))
+    found = {"exact": _exact(index, other).withColumn("s", F.lit(1.0)), "name": retrieve.topk_cosine(qn, dn, 1, 0.32), "addr": retrieve.topk_cosine(qa, da, 1, 0.30)}
+    return merge.sole_channel(merge.merge_channels(found), tables.truth_pairs(view(spark, sf, "truth")), ["exact", "name", "addr"])
 
 
 @query(f"""{_M}, p AS (SELECT q, d, round(name_cos + addr_cos + 0.2 * exact, 6) AS s FROM r),
@@ -495,11 +521,17 @@ def _scored(spark, sf) -> DataFrame:
     return pairs(spark, sf).select(r6(F.col("p"), "p"), F.col("eq").cast("int").alias("y"))
 
 
-@query(f"{_LP} SELECT CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM x GROUP BY 1")
+@query(f"""{_LP}, c AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]), lambda v: round(v, 9)))) AS cuts FROM x)
+SELECT CAST(greatest(least(len(list_filter(cuts, lambda v: v <= p)) - 1, len(cuts) - 2), 0) AS INT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM x, c GROUP BY 1""")
 def calibration_bins(spark, sf):
     return evaluate.calibration(_scored(spark, sf))
 
 
+@query(f"{_LP} SELECT round(avg(CAST((p >= 0.5) = (y = 1) AS INT)), 6) AS accuracy FROM x")
+def accuracy(spark, sf):
+    return _scored(spark, sf).agg(r6(evaluate.accuracy(F.col("p"), F.col("y")), "accuracy"))
+
+
 _CLIP = "least(greatest({p}, 1e-6), 1 - 1e-6)"
 _LOGIT = f"ln({_CLIP} / (1 - {_CLIP}))"
 
@@ -563,10 +595,12 @@ def f05_breakdown(spark, sf):
     return evaluate.macro_f05(_sets(spark, sf), "country", "n_true")
 
 
-@query(f"{_E}, {_T} SELECT count(*) AS pairs, (SELECT count(*) FROM t WHERE cand <> '') AS true_pairs, (SELECT count(*) FROM t WHERE (s1, cand) IN (SELECT (d, q) FROM ex)) AS found, round((SELECT count(*) FROM t WHERE (s1, cand) IN (SELECT (d, q) FROM ex)) / (SELECT count(*) FROM t WHERE cand <> ''), 6) AS completeness, round(count(*) / count(DISTINCT d), 6) AS cands_per_s1 FROM ex")
+@query(f"""{_E}, {_T}, z AS (SELECT (SELECT count(*) FROM i) AS ni, (SELECT count(*) FROM q) AS nq, (SELECT count(*) FROM t WHERE cand <> '') AS true_pairs, (SELECT count(*) FROM t WHERE (s1, cand) IN (SELECT (d, q) FROM ex)) AS found, (SELECT count(*) FROM ex) AS pairs)
+SELECT pairs, true_pairs, found, round(found / true_pairs, 6) AS completeness, round(pairs / ni, 6) AS cands_per_s1, round(1 - pairs / (ni::DOUBLE * nq), 6) AS reduction_ratio FROM z""")
 def pair_completeness(spark, sf):
-    cands = _exact(*_sides(spark, sf)).select(F.col("d").alias("s1"), F.col("q").alias("cand"))
-    return evaluate.pair_completeness(cands, tables.truth_pairs(view(spark, sf, "truth")))
+    index, other = _sides(spark, sf)
+    cands = _exact(index, other).select(F.col("d").alias("s1"), F.col("q").alias("cand"))
+    return evaluate.pair_completeness(cands, tables.truth_pairs(view(spark, sf, "truth")), index.count(), other.count())
 
 
 # --- Stop words and lexicon ------------------------------------------------------------------------------------------------
@@ -633,9 +667,14 @@ def lexicon_pair_counts(spark, sf):
     return lexicon.collect(_aligned(spark, sf))["pair"].select("country", "noisy", "clean", "n")
 
 
-@query(f"{_AL}, ld AS (SELECT country, n[1] AS token, count(*) AS n FROM al GROUP BY 1, 2), cl AS (SELECT country, token, count(*) AS m FROM (SELECT country, unnest(list_distinct(c)) AS token FROM al) GROUP BY 1, 2) SELECT country, token, n FROM ld LEFT JOIN cl USING (country, token) WHERE n >= 25 AND coalesce(m, 0) < 0.1 * n")
+@query(f"""{_B}, {_T}, al AS (SELECT t.s1, x.country, string_split(x.name_b, ' ') AS c, CASE WHEN CAST(substr(t.s1, 4) AS BIGINT) % 4 = 0 THEN list_prepend('messrs', string_split(y.name_b, ' ')) ELSE string_split(y.name_b, ' ') END AS n FROM t JOIN b x ON x.entity_id = t.s1 JOIN b y ON y.entity_id = t.cand),
+ld AS (SELECT country, n[1] AS token, count(*) AS n FROM al GROUP BY 1, 2), cl AS (SELECT country, token, count(*) AS m FROM (SELECT country, unnest(list_distinct(c)) AS token FROM al) GROUP BY 1, 2)
+SELECT country, token, n FROM ld LEFT JOIN cl USING (country, token) WHERE n >= 25 AND coalesce(m, 0) < 0.1 * n""")
 def junk_prefix(spark, sf):
-    c = lexicon.collect(_aligned(spark, sf))
+    b = canon.basic(view(spark, sf, "recs")).select("entity_id", "country", F.split("name_b", " ").alias("t"))
+    rows = tables.truth_pairs(view(spark, sf, "truth")).join(b.select(F.col("entity_id").alias("s1"), "country", F.col("t").alias("clean")), "s1").join(b.select(F.col("entity_id").alias("cand"), F.col("t").alias("noisy")), "cand")
+    led = F.when(F.substring("s1", 4, 20).cast("long") % 4 == 0, F.array_prepend("noisy", F.lit("messrs"))).otherwise(F.col("noisy"))
+    c = lexicon.collect(lexicon.align(written(rows.withColumn("noisy", led).withColumn("field", F.lit("name")), "sides")))
     return lexicon.junk_prefix(c["lead"], c["clean"]).select("country", "token", "n")
 
 
