@@ -358,6 +358,40 @@ def test_line_dedup_words(spark, min_lines):
     assert got == want
 
 
+def test_runs(spark, nothing):
+    """Maximal runs against each position's first copy, by brute force; all deleted lines lie in them."""
+    rng = random.Random(11)
+    body = [f"line {k}" for k in range(40)]
+    rows = [(1, "\n".join(body)), (2, "\n".join(["q", *body[3:29], "r"])), (3, "\n".join(body)), (4, "\n".join(["s", *body[30:35], "t", *body[:13]]))]
+    rows += [(10 + i, "\n".join(rng.choice("abcde") for _ in range(rng.randrange(14)))) for i in range(20)]
+    lines = {i: t.split("\n") for i, t in rows}
+    got = line_dedup.runs(table(spark, rows)).collect()
+    uids = {r["uid"]: r["doc_id"] for r in got} | {r["first_uid"]: None for r in got if r["first_uid"] not in {x["uid"] for x in got}}
+    spans = {(r["doc_id"], r["first"], r["length"]) for r in got}
+    assert {(2, 1, 26), (3, 0, 40), (4, 1, 5), (4, 7, 13)} <= spans and len(uids) > 4
+    where = {r["uid"]: r["doc_id"] for r in line_dedup.repeated_lines(table(spark, rows)).collect()}
+    for r in got:
+        here, there = lines[r["doc_id"]][r["first"] :], lines[where[r["first_uid"]]][r["first_line"] :]
+        same = next((k for k, (a, b) in enumerate(zip(here, there, strict=False)) if a != b), min(len(here), len(there)))
+        assert r["length"] == same and r["words"] == sum(len(x.split()) for x in here[:same])
+        assert (where[r["first_uid"]], r["first_line"]) < (r["doc_id"], r["first"])
+    covered = {i: set() for i in lines}
+    for r in got:
+        covered[r["doc_id"]] |= set(range(r["first"], r["first"] + r["length"]))
+    assert {r["doc_id"]: set(r["deleted"]) for r in line_dedup.repeated_lines(table(spark, rows)).collect()} == covered
+    assert line_dedup.runs(nothing).count() == 0
+
+
+def test_clashing_names(spark):
+    """Columns with the names that operators use inside come back as they were."""
+    schema = "doc_id long, text string, deleted string, row string, id string, sha string, __id string, rid string, rsha string, cuts string, quality_score string, out string, stay string, lines string"
+    docs = spark.createDataFrame([(k, t, *["z"] * 12) for k, t in [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (2, "x\na\nb\nc"), (None, None)]], schema)
+    for kept, texts in ((line_dedup.drop_repeated_lines(docs), [None, "", "a\nb\nc\nd", "x"]), (exact_dedup.drop_exact_copies(docs), [None, "a\nb\nc\nd", "x\na\nb\nc"])):
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert all(tuple(r)[2:] == ("z",) * 12 for r in rows) and sorted((r["text"] or "", r["text"] is not None) for r in rows) == sorted((t or "", t is not None) for t in texts)
+
+
 def test_licences(spark, nothing):
     rows = [(1, "prose here\nReleased under the MIT License.\nmore"), (2, "RELEASED under: the MIT licence"), (3, None), (4, "Licensed under the Apache License, Version 2.0."), (5, ""), (1, "Released under the MIT License."), (6, "word " * 9000)]
     got = {(r["doc_id"], r["license_id"]): r["dice"] for r in licences.scan(table(spark, rows)).collect()}

@@ -8,6 +8,7 @@ import tempfile
 import time
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,16 @@ SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a temporary one if driver and executors are one process; else an error, as executors would write to their own disks.
+    """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -32,6 +39,7 @@ class Work:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         atexit.register(self._remove, self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -52,9 +60,8 @@ class Work:
 
     def _remove(self, path: str) -> None:
         try:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.conf).delete(where, True)
         except Exception:  # noqa: BLE001  the session may have ended; the files are scratch
             return
 

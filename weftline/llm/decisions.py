@@ -13,6 +13,11 @@ def text_sha() -> Column:
     return F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs, so that none of their names can clash), id and sha."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_sha().alias("sha"))
+
+
 def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """docs without the rows that verdicts (doc_id, sha, keep) reject.
 
@@ -22,20 +27,20 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """
     work = Work(docs.sparkSession, "verdicts")
     keep = F.coalesce("keep", F.lit(False))
-    pairs = verdicts.groupBy(F.col("doc_id").alias("__rid"), F.col("sha").alias("__rsha")).agg(F.count_if(~keep).alias("__out"), F.count_if(keep).alias("__stay"))
+    pairs = verdicts.groupBy(F.col("doc_id").alias("rid"), F.col("sha").alias("rsha")).agg(F.count_if(~keep).alias("out"), F.count_if(keep).alias("stay"))
     # Rejected pairs grow with the corpus, so they are dealt at every size and never broadcast.
-    pairs = work.save(pairs.filter("__out > 0"), "rejected").hint("merge")
+    pairs = work.save(pairs.filter("out > 0"), "rejected").hint("merge")
     # What made the verdicts isn't needed any more; its shuffle files make room for this join's.
     work.release()
-    gone, some = pairs.filter("__stay = 0"), pairs.filter("__stay > 0")
-    rows = docs.withColumns({"__id": F.col("doc_id"), "__sha": text_sha()})
+    gone, some = pairs.filter("stay = 0"), pairs.filter("stay > 0")
+    rows = keyed(docs)
 
     def on(right: DataFrame) -> Column:
-        return rows["__id"].eqNullSafe(right["__rid"]) & (rows["__sha"] == right["__rsha"])
+        return rows["id"].eqNullSafe(right["rid"]) & (rows["sha"] == right["rsha"])
 
     if some.isEmpty():
-        return rows.join(gone, on(gone), "left_anti").select(*docs.columns)
-    rest = rows.join(pairs, on(pairs), "left_anti").select(*docs.columns)
-    rank = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy("__sha"))
-    few = rows.join(some, on(some)).withColumn("__rn", rank).filter("__rn <= __stay")
-    return rest.unionByName(few.select(*docs.columns))
+        return rows.join(gone, on(gone), "left_anti").select("row.*")
+    rest = rows.join(pairs, on(pairs), "left_anti").select("row.*")
+    rank = F.row_number().over(Window.partitionBy("id", "sha").orderBy("sha"))
+    few = rows.join(some, on(some)).withColumn("rn", rank).filter("rn <= stay")
+    return rest.unionByName(few.select("row.*"))

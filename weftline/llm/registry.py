@@ -127,16 +127,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("lines").cast("long").alias("n_lines"), F.size("deleted").cast("long").alias("n_deleted"), F.sha2(numbers, 256).alias("deleted_sha256"))
 
 
-#: Runs of three lines, and lines of forty words, that have begun or occurred earlier.
+#: Runs of three lines, and shorter ones of forty words in all, that have begun earlier.  Characters of scripts without blanks count half a word.
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST) AS o, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 x AS (SELECT o, unnest(l) AS s, unnest(range(len(l))) AS p FROM d),
-y AS (SELECT o, p, s, lead(s, 1) OVER w AS s1, lead(s, 2) OVER w AS s2, row_number() OVER (PARTITION BY s ORDER BY o, p) AS n1 FROM x WINDOW w AS (PARTITION BY o ORDER BY p)),
-z AS (SELECT *, row_number() OVER (PARTITION BY s, s1, s2 ORDER BY o, p) AS n3 FROM y),
+v AS (SELECT o, p, s, len(regexp_split_to_array(trim(s, ' '), '[ \t\n\x0B\f\r]+'))
+      + length(regexp_replace(s, '[^\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]+', '', 'g')) // 2 AS n FROM x),
+y AS (SELECT o, p, s, n, lead(s, 1) OVER w AS s1, lead(s, 2) OVER w AS s2, lead(n, 1) OVER w AS m FROM v WINDOW w AS (PARTITION BY o ORDER BY p)),
+z AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY o, p) AS n1, row_number() OVER (PARTITION BY s, s1 ORDER BY o, p) AS n2, row_number() OVER (PARTITION BY s, s1, s2 ORDER BY o, p) AS n3 FROM y),
 gone AS (SELECT o, unnest(range(p, p + 3)) AS p FROM z WHERE s2 IS NOT NULL AND n3 > 1
-         UNION SELECT o, p FROM y WHERE n1 > 1 AND len(regexp_split_to_array(trim(s, ' '), '\s+')) >= 40),
-g AS (SELECT o, count(*) AS n, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS ps FROM gone GROUP BY o)
-SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_deleted, sha256(coalesce(ps, '')) AS deleted_sha256 FROM d LEFT JOIN g USING (o)
+         UNION SELECT o, unnest(range(p, p + 2)) FROM z WHERE s1 IS NOT NULL AND n2 > 1 AND n + m >= 40
+         UNION SELECT o, p FROM z WHERE n1 > 1 AND n >= 40),
+g AS (SELECT o, count(*) AS c, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS ps FROM gone GROUP BY o)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(c, 0) AS BIGINT) AS n_deleted, sha256(coalesce(ps, '')) AS deleted_sha256 FROM d LEFT JOIN g USING (o)
 """
 
 QUERIES: dict[str, Query] = {
