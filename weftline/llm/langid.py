@@ -2,14 +2,13 @@
 
 Each language has a tree of byte contexts up to ORDER bytes, from a bounded training sample.  A
 context predicts the bytes it has been followed by, and otherwise escapes to the context one byte
-shorter, down to equal chances (method C, with exclusion, so that the
+shorter, down to equal chances of all 256 bytes (method C, with exclusion, so that the
 probabilities of a context add up to one).  After training the statistics are frozen, and a text's
 code length under each language is exact.  The language with the shortest code wins.
 
-Frozen trees are tables, of GROUP languages each, so that their size is in proportion to the languages: per context
-that any of them keeps, one code length per next byte and language; a text is scored by two lookups per byte and table.
-All 256 byte values are symbols.  Those that a table's languages haven't shown have equal chances in every
-context, so they are one class there, and each of them costs the logarithm of their number besides.
+Nothing of a tree is pruned.  Per order, a table has every (context, next byte) that any language of a group of GROUP has shown, with its code
+length in each of them, and every context with the length of its escape; a byte is looked up from the longest context on, and
+what it escapes through is added up.
 """
 
 from __future__ import annotations
@@ -22,47 +21,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .samples import chunks, raw_texts, remainder
+from .samples import CHUNK, chunks, raw_texts, remainder
 
 ORDER = 3
-#: Training texts per language, the longest of them in characters, and contexts of the full order kept per language (its most frequent).
-MOST, LONGEST, CONTEXTS = 400, 20_000, 3_000
+#: Training texts per language, and the longest of them in characters.
+MOST, LONGEST = 400, 20_000
 #: Languages in one table, and for how many all training texts have room; of more languages, each gets fewer characters.
 GROUP, ROOM = 4, 64
 UNKNOWN = "und"
 
 
+class Table:
+    """Rows of numbers by 32-bit key, found by hash; keys must differ."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray):
+        self.shift = np.uint32(max(1, 30 - max(len(keys), 1).bit_length()))
+        at = self._slot(keys)
+        order = np.argsort(at, kind="stable")
+        self.keys, self.rows = keys[order], rows[order]
+        n = (1 << (32 - int(self.shift))) + 1
+        self.begin = np.searchsorted(at[order], np.arange(n)).astype(np.int32)
+        self.depth = int(np.diff(self.begin).max(initial=0))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        h = keys * np.uint32(0x9E3779B1)
+        return (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77) >> self.shift
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row number of each key, -1 where there's none."""
+        slot = self._slot(keys)
+        at, end = self.begin[slot], self.begin[slot + 1]
+        out = np.full(len(keys), -1, np.int32)
+        if not len(self.keys):
+            return out
+        first = self.keys[np.minimum(at, len(self.keys) - 1)]
+        hit = (at < end) & (first == keys)
+        out[hit] = at[hit]
+        left = np.flatnonzero(~hit & (at + 1 < end))
+        for _ in range(1, self.depth):
+            if not len(left):
+                break
+            at[left] += 1
+            hit = self.keys[at[left]] == keys[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            left = left[at[left] + 1 < end[left]]
+        return out
+
+
 @dataclass
 class Model:
     languages: list[str]
-    classes: np.ndarray  # byte -> class
-    context: np.ndarray  # the last ORDER classes, as a number -> row of the table
-    table: np.ndarray  # (row * classes + next class) x language: bits
-    foreign: float = 0.0  # bits that tell the bytes of the last class apart
+    known: list[Table]  # by order: (context, next) -> bits of each language
+    escapes: list[Table]  # by order: context -> bits of each language
+
+    def bits(self, code: np.ndarray) -> np.ndarray:
+        """Code lengths, byte x language, of codes that hold the last ORDER bytes and then the byte itself."""
+        out = np.zeros((len(code), len(self.languages)), np.float32)
+        left = np.arange(len(code))
+        for k in range(len(self.known) - 1, -1, -1):
+            mine = code[left] & np.uint32((1 << 8 * (k + 1)) - 1)
+            at = self.known[k].find(mine)
+            hit = at >= 0
+            out[left[hit]] += self.known[k].rows[at[hit]]
+            left, mine = left[~hit], mine[~hit]
+            if not len(left):
+                break
+            at = self.escapes[k].find(mine >> np.uint32(8))
+            out[left[at >= 0]] += self.escapes[k].rows[at[at >= 0]]
+        return out
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Code lengths in bits, text x language."""
+        """Code lengths in bits, text x language.  Long texts are summed by pieces."""
         out = np.zeros((len(texts), len(self.languages)))
-        size = int(self.classes.max()) + 1
         for a, b in chunks(texts):
-            gap = b"\0" * ORDER
-            raw = np.frombuffer(gap + gap.join(texts[a:b]), np.uint8)
-            c = self.classes[raw].astype(np.int32)
-            n = len(raw) - ORDER
-            past = np.zeros(n, np.int32)
-            for k in range(ORDER):
-                past *= size
-                past += c[k : k + n]
-            at = self.context[past] * size + c[ORDER:]
-            begin = np.cumsum([0, *(len(t) + ORDER for t in texts[a:b])])
-            for k in range(b - a):  # sums of float32 rows, in float64
-                i = at[begin[k] : begin[k] + len(texts[a + k])]
-                if len(i):
-                    out[a + k] = np.take(self.table, i, axis=0).sum(0, dtype=np.float64)
-                    if self.foreign:
-                        out[a + k] += self.foreign * np.count_nonzero(c[begin[k] + ORDER : begin[k] + ORDER + len(i)] == size - 1)
+            if b - a == 1 and len(texts[a]) > CHUNK:
+                for at in range(0, len(texts[a]), CHUNK):
+                    out[a] += self._sums([texts[a][at : at + CHUNK]], texts[a][max(0, at - ORDER) : at])[0]
+            else:
+                out[a:b] = self._sums(texts[a:b])
         return out
 
+    def _sums(self, texts: list[bytes], before: bytes = b"") -> np.ndarray:
+        code, begin = codes(texts, before)
+        bits = self.bits(code)
+        total = np.concatenate([np.zeros((1, bits.shape[1])), np.cumsum(bits, 0, dtype=np.float64)])
+        ends = begin + np.fromiter(map(len, texts), np.int64, len(texts))
+        return total[ends] - total[begin]
+
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(language index, score): the share of the winner's probability, languages being equally likely."""
         bits = self.lengths(texts)
@@ -80,102 +126,68 @@ class Models(Model):
         return np.hstack([p.lengths(texts) for p in self.parts])
 
 
-def fit(samples: dict[str, list[bytes]], order: int = ORDER, contexts: int = CONTEXTS) -> Model:
+def codes(texts: list[bytes], before: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """(each byte behind the ORDER bytes before it as one number, where each text begins).
+
+    Zero bytes stand before a text's beginning, or else `before`.
+    """
+    gap = b"\0" * ORDER
+    raw = np.frombuffer((gap + before)[-ORDER:] + b"".join(t + gap for t in texts), np.uint8).astype(np.uint32)
+    n = len(raw) - ORDER
+    code = np.zeros(n, np.uint32)
+    for k in range(ORDER + 1):
+        code |= raw[k : k + n] << np.uint32(8 * (ORDER - k))
+    sizes = np.fromiter((len(t) + ORDER for t in texts), np.int64, len(texts))
+    return code, np.cumsum(sizes) - sizes
+
+
+def fit(samples: dict[str, list[bytes]]) -> Model:
     """The model of samples by language; languages in sorted order, which breaks ties."""
     languages = sorted(samples)
     if len(languages) > GROUP:
-        return Models([fit({k: samples[k] for k in languages[i : i + GROUP]}, order, contexts) for i in range(0, len(languages), GROUP)])
-    seen = np.zeros(256, np.int64)
-    for texts in samples.values():
-        seen += np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
-    frequent = [int(b) for b in np.argsort(-seen, kind="stable") if seen[b] and b]
-    cls = np.full(256, len(frequent) + 1, np.uint16)  # bytes that training didn't show
-    cls[0] = 0  # before the text's beginning
-    cls[frequent] = np.arange(1, len(frequent) + 1)
-    size = len(frequent) + 2
-    equal = np.full(size, 1 / 256)
-    equal[-1] = max(255 - len(frequent), 1) / 256
-    equal /= equal.sum()
-    grams: list[list[tuple[np.ndarray, np.ndarray]]] = []  # language, order: (context * size + next, count)
+        return Models([fit({k: samples[k] for k in languages[i : i + GROUP]}) for i in range(0, len(languages), GROUP)])
+    counts = []  # language: (codes, how often)
     for lang in languages:
-        gap = b"\0" * order
-        raw = gap + gap.join(samples[lang])
-        c = cls[np.frombuffer(raw, np.uint8)].astype(np.int64)
-        inside = np.zeros(len(c), bool)
-        at = 0
-        for t in samples[lang]:
-            inside[at + order : at + order + len(t)] = True
-            at += order + len(t)
-        end = np.flatnonzero(inside)
-        own = []
-        for k in range(order + 1):
-            code = c[end].copy()
-            for j in range(1, k + 1):
-                code += c[end - j] * size**j
-            own.append(np.unique(code, return_counts=True))
-        grams.append(own)
-    # The contexts to keep: each language's most frequent of the full order.
-    most: set[int] = set()
-    for own in grams:
-        code, n = own[order]
-        ctx, m = _totals(code // size, n)
-        most |= {int(x) for x in ctx[np.lexsort((ctx, -m))[:contexts]]}
-    kept = sorted(most)
-    # Rows: the empty context, then all of one byte, then all of two that any language has, then the kept ones.
-    rows: list[tuple[int, ...]] = [()]
-    for k in range(1, order):
-        found = sorted({int(x) for own in grams for x in np.unique(own[k][0] // size)})
-        rows += [(k, x) for x in found]
-    rows += [(order, x) for x in kept]
-    number = {r: i for i, r in enumerate(rows)}
-    table = np.zeros((len(rows), size, len(languages)), np.float32)
-    for g, own in enumerate(grams):
-        follow: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for code, n in own:
-            ctx, first = np.unique(code // size, return_index=True)
-            last = np.append(first[1:], len(code))
-            follow.append({int(x): (code[a:b] % size, n[a:b]) for x, a, b in zip(ctx, first, last, strict=True)})
-        prob = np.zeros((len(rows), size))
-        for i, r in enumerate(rows):
-            k, x = r if r else (0, 0)
-            # One byte shorter: without the oldest; a shorter context that no language has falls back further.
-            lower = equal
-            if r:
-                j, y = k - 1, x % size ** (k - 1)
-                while j and (j, y) not in number:
-                    j, y = j - 1, y % size ** (j - 1)
-                lower = prob[number[(j, y)] if j else 0]
-            prob[i] = _mixed(follow[k].get(x if k else 0), lower)
-        table[:, :, g] = -np.log2(prob)
-    context = np.zeros(size**order, np.int32)
-    for k in range(1, order + 1):  # longer contexts overwrite shorter ones
-        own_rows = [(x, number[(k, x)]) for j, x in rows[1:] if j == k]
-        if own_rows:
-            x, i = np.array(own_rows).T
-            context.reshape(size ** (order - k), -1)[:, x] = i
-    return Model(languages, cls, context, table.reshape(len(rows) * size, len(languages)), float(np.log2(max(255 - len(frequent), 1))))
+        code, begin = codes(samples[lang])
+        inside = np.zeros(len(code) + 1, np.int64)
+        np.add.at(inside, begin, 1)
+        np.add.at(inside, begin + np.fromiter(map(len, samples[lang]), np.int64, len(begin)), -1)
+        counts.append(np.unique(code[np.cumsum(inside[:-1]) > 0], return_counts=True))
+    known, escapes, lower_keys, lower = [], [], None, None
+    for k in range(ORDER + 1):
+        own = [_totals(c & np.uint32((1 << 8 * (k + 1)) - 1), n) for c, n in counts]
+        keys = np.unique(np.concatenate([c for c, _ in own]))
+        prob = np.empty((len(keys), len(languages)))
+        contexts = np.unique(keys >> np.uint32(8))
+        escape = np.zeros((len(contexts), len(languages)), np.float32)
+        for g, (c, n) in enumerate(own):
+            shorter = keys & np.uint32((1 << 8 * k) - 1)
+            below = np.full(len(keys), 1 / 256) if k == 0 else lower[np.searchsorted(lower_keys, shorter), g]
+            ctx, first = np.unique(c >> np.uint32(8), return_index=True)
+            at = np.searchsorted(keys, c)
+            total, who = np.add.reduceat(n, first), np.diff(np.append(first, len(c)))
+            left = 1 - np.add.reduceat(below[at], first)
+            full = left <= 1e-12  # every byte has been seen: nothing to escape to
+            factor = np.where(full, 1.0, who / (total + who) / np.where(full, 1.0, left))
+            i = np.searchsorted(ctx, keys >> np.uint32(8))
+            seen_ctx = ctx[np.minimum(i, len(ctx) - 1)] == keys >> np.uint32(8)
+            prob[:, g] = below * np.where(seen_ctx, factor[np.minimum(i, len(ctx) - 1)], 1.0)
+            j = np.repeat(np.arange(len(ctx)), who)
+            prob[at, g] = n / np.where(full, total, total + who)[j]
+            escape[np.searchsorted(contexts, ctx), g] = -np.log2(factor)
+        known.append(Table(keys, -np.log2(prob).astype(np.float32)))
+        escapes.append(Table(contexts, escape))
+        lower_keys, lower = keys, prob
+        if k == 0:  # below everything, equal chances: all bytes are known at order 0
+            missing = np.setdiff1d(np.arange(256, dtype=np.uint32), keys)
+            rest = np.repeat(escape + 8, len(missing), 0) if len(contexts) else np.zeros((0, len(languages)), np.float32)
+            known[0] = Table(np.concatenate([keys, missing]), np.concatenate([-np.log2(prob), rest]).astype(np.float32))
+    return Model(languages, known, escapes)
 
 
 def _totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     got, back = np.unique(keys, return_inverse=True)
-    return got, np.bincount(back, n)
-
-
-def _mixed(follow: tuple[np.ndarray, np.ndarray] | None, lower: np.ndarray) -> np.ndarray:
-    """Method C with exclusion: seen bytes by count, the rest share the escape as the shorter context has them."""
-    if follow is None:
-        return lower
-    who, n = follow
-    total = n.sum() + len(who)
-    rest = lower.copy()
-    rest[who] = 0
-    left = rest.sum()
-    if left <= 0:  # every byte has been seen: nothing to escape to
-        rest[who] = n / n.sum()
-        return rest
-    out = rest * (len(who) / total / left)
-    out[who] = n / total
-    return out
+    return got, np.bincount(back, n).astype(np.int64)
 
 
 def train(docs: DataFrame, most: int = MOST, longest: int = LONGEST) -> Model | None:
