@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .samples import chunks, joined, labelled, raw_texts, remainder, sums
+from .samples import CHUNK, chunks, joined, labelled, pieces, raw_texts, remainder, sums
 
 BITS = 18
 #: Training rows per label value, and the longest text among them in characters.
 MOST, LONGEST = 3000, 20_000
 KEEP = 0.7
+#: Bytes of the piece before that a piece of a long text sees: room for the words that shapes compare with.
+LOOK = 4096
 
 _SPACE, _WORD, _SIGN = 0, 1, 2
 _CLASS = np.full(256, _SIGN, np.uint8)
@@ -45,13 +47,13 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
     return ((h * _KIND[7]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def features(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """(buckets of each kind, one per word; words of text k are cuts[k]:cuts[k + 1])."""
+def features(texts: list[bytes], skip: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
+    """(buckets of each kind, one per word; words of text k are cuts[k]:cuts[k + 1]), but for words in the first `skip` bytes."""
     raw, begin = joined(texts)
     cls = _CLASS[raw]
     start = np.flatnonzero((cls[1:] != cls[:-1]) & (cls[1:] != _SPACE)) + 1
     stop = np.flatnonzero((cls[1:] != cls[:-1]) & (cls[:-1] != _SPACE)) + 1
-    cuts = np.searchsorted(start, begin)
+    cuts = np.searchsorted(start, begin + np.where(np.arange(len(begin)) == 0, skip, 0))
     if not len(start):
         return [np.zeros(0, np.int64)] * 4, cuts
     n = stop - start
@@ -81,14 +83,29 @@ class Model:
     bias: float
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """A text without words gets the score of no evidence, from the bias alone."""
+        """A text without words gets the score of no evidence, from the bias alone.
+
+        Long texts are summed by pieces, which see LOOK bytes of the one before; of a word of over CHUNK bytes the first ones count.
+        """
         out = np.zeros(len(texts))
         for a, b in chunks(texts):
-            kinds, cuts = features(texts[a:b])
-            value = sum(self.weights[k] for k in kinds) if len(kinds[0]) else np.zeros(0)
-            out[a:b] = sums(value, cuts) / np.maximum(np.diff(cuts), 1)
+            if b - a > 1:
+                total, n = self._sums(texts[a:b])
+            else:
+                total, n, before = np.zeros(1), np.zeros(1), b""
+                for piece in pieces(texts[a], CHUNK):
+                    before = before[before.find(b" ") + 1 :] if len(before) == LOOK else before
+                    x, m = self._sums([before + piece], len(before))
+                    total, n, before = total + x, n + m, (before + piece)[-LOOK:]
+            out[a:b] = total / np.maximum(n, 1)
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -30, 30)))
 
+    def _sums(self, texts: list[bytes], skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's sum over its n-grams, and the number of words; of one text, words that begin in its first `skip` bytes don't count."""
+        kinds, cuts = features(texts, skip)
+        value = sum(self.weights[k] for k in kinds) if len(kinds[0]) else np.zeros(0)
+        return sums(value, cuts), np.diff(cuts)
+
 
 def fit(rows: list[tuple[str, int]], share: float = 0.5, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> Model:
     """FTRL-proximal, one row at a time in a drawn order; classes weigh alike, and then the bias
@@ -154,5 +171,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = KEEP) -> DataFrame:
-    """docs, all columns, with a score of `least` or more."""
-    return scored(docs, model).filter(F.col("quality_score") >= least).select(*docs.columns)
+    """docs, all columns as they were (a quality_score too), with a score of `least` or more.  Null texts count as empty.
+
+    A model that has learned from one label value alone, or from none, can't tell texts apart: everything stays.
+    """
+    if not model.weights.any():
+        return docs
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text")
+    return scored(packed, model).filter(F.col("quality_score") >= least).select("row.*")

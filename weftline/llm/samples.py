@@ -47,6 +47,17 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def pieces(text: bytes, size: int) -> list[bytes]:
+    """text in pieces of at most `size` bytes, each ending after a blank where there is one."""
+    out, at = [], 0
+    while len(text) - at > size:
+        end = max(text.rfind(b, at + 1, at + size) for b in (b" ", b"\n")) + 1
+        end = end if end > at + 1 else at + size
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 

@@ -17,10 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .samples import chunks, joined, labelled, raw_texts, remainder, sums
+from .samples import CHUNK, chunks, joined, labelled, pieces, raw_texts, remainder, sums
 
 BITS, GRAMS, DIM = 18, (3, 4, 5), 8
-TYPICAL, STEADY = 3000, 0.75
 #: Training rows per label value, and the longest text among them in characters.
 MOST, LONGEST = 2000, 20_000
 
@@ -34,12 +33,6 @@ _MIX[0] = 3  # the edge of a word
 _STEP = _RNG.integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
 
 
-def _scale(n: np.ndarray) -> np.ndarray:
-    """What the sum over n n-grams is divided by: n for a text of TYPICAL length.  A longer text's
-    average is steadier, so the same average counts for more there, and for less in a short one."""
-    return np.maximum(n, 1) ** STEADY * TYPICAL ** (1 - STEADY)
-
-
 def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     return ((h * _STEP[60 - kind]) >> np.uint64(64 - BITS)).astype(np.int32)
@@ -85,20 +78,24 @@ class Model:
         self.one = (self.embedding @ (self.softmax[:, 1] - self.softmax[:, 0])).astype(np.float32)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """The probability of class 1; a text without words has the bias alone."""
+        """The probability of class 1; a text without words has the bias alone.  A word of over CHUNK bytes counts as several."""
         out = np.zeros(len(texts))
         for a, b in chunks(texts):
-            total, n = np.zeros(b - a), np.zeros(b - a)
-            for ix, cuts in features(texts[a:b]):
-                total += sums(self.one[ix], cuts)
-                n += np.diff(cuts)
-            out[a:b] = total / _scale(n)
+            # Words, and so n-grams, lie within pieces.
+            parts = [self._sums([x]) for x in pieces(texts[a], CHUNK)] if b - a == 1 else [self._sums(texts[a:b])]
+            out[a:b] = sum(total for total, _ in parts) / np.maximum(sum(n for _, n in parts), 1)
         return 1 / (1 + np.exp(-np.clip(out + self.bias[1] - self.bias[0], -30, 30)))
 
+    def _sums(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's sum over its n-grams, and their number."""
+        got = features(texts)
+        return sum(sums(self.one[ix], cuts) for ix, cuts in got), sum(np.diff(cuts) for _, cuts in got)
+
 
-def fit(rows: list[tuple[str, int]], share: float = 0.5, epochs: int = 12, rate: float = 1.5, batch: int = 50, least: int = 10) -> Model:
+def fit(rows: list[tuple[str, int]], share: float = 0.5, epochs: int = 8, settle: int = 16, rate: float = 20.0, sparse: float = 2e-4, batch: int = 50, least: int = 5) -> Model:
     """AdaGrad on the softmax's cross-entropy, embeddings and output together; classes weigh alike, and
-    then the biases are moved to the share of label 1 before sampling.  N-grams in fewer than
+    then the biases are moved to the share of label 1 before sampling.  For the first `epochs` a penalty on each embedding's length
+    (`sparse`) brings those to zero that say little; the others then learn on without it for `settle` epochs.  N-grams in fewer than
     `least` rows say nothing that carries over: their embeddings are zero.  Without rows of both classes the score is 0.5 everywhere.
     """
     size, rng = 1 << BITS, np.random.default_rng(0)
@@ -115,13 +112,14 @@ def fit(rows: list[tuple[str, int]], share: float = 0.5, epochs: int = 12, rate:
         for k in range(b - a):
             each = np.concatenate([ix[cuts[k] : cuts[k + 1]] for ix, cuts in got])
             ix, m = np.unique(each, return_counts=True)
-            xs.append((ix, (m / _scale(len(each))).astype(np.float32)))
-    spread = np.bincount(np.concatenate([ix for ix, _ in xs]), minlength=size)
-    e[spread < least] = 0
-    xs = [(ix[ok], m[ok]) for ix, m in xs for ok in [spread[ix] >= least]]
+            xs.append((ix, (m / max(len(each), 1)).astype(np.float32)))
+    e[np.bincount(np.concatenate([ix for ix, _ in xs]), minlength=size) < least] = 0
     weigh = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum()))
     ge, gu, gc = np.full(size, 1e-8, np.float32), np.full(u.shape, 1e-8), np.full(2, 1e-8)
-    for _ in range(epochs):
+    for epoch in range(epochs + settle):
+        if epoch in (0, epochs):  # rows of zeros stay
+            live = e.any(1)
+            xs = [(ix[ok], m[ok]) for ix, m in xs for ok in [live[ix]]]
         order = rng.permutation(len(xs))
         for at in range(0, len(order), batch):
             ks = order[at : at + batch]
@@ -139,7 +137,11 @@ def fit(rows: list[tuple[str, int]], share: float = 0.5, epochs: int = 12, rate:
             used, back = np.unique(ix, return_inverse=True)
             grad = np.stack([np.bincount(back, dh[seg, d] * x, len(used)) for d in range(DIM)], 1)
             ge[used] += (grad * grad).mean(1)
-            e[used] -= (rate * grad / np.sqrt(ge[used])[:, None]).astype(np.float32)
+            step = rate / np.sqrt(ge[used])
+            new = e[used] - step[:, None] * grad
+            if epoch < epochs:
+                new *= np.maximum(1 - step * sparse / np.maximum(np.linalg.norm(new, axis=1), 1e-12), 0)[:, None]
+            e[used] = new.astype(np.float32)
             gu += du * du
             gc += dc * dc
             u -= 0.05 * du / np.sqrt(gu)
