@@ -31,14 +31,14 @@ UNSPACED_WORD = 2
 _AT = ["doc", "uid", "pos"]
 
 
-def _ranked(work: Work, rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """rows whose keys occur more than once, with rank (in the keys' order), first (the first position) and later (whether it's another)."""
+def _ranked(work: Work, rows: DataFrame, keys: list[str], name: str, by: list[str] | None = None) -> DataFrame:
+    """rows whose keys occur more than once, with rank (in the keys' order, dealt by the first ones of them), first (the first position) and later (whether it's another)."""
     rows = work.save(rows.withColumn("salt", salt_of("uid", "pos")), f"{name}_rows")
     first = F.min(F.struct(F.col("doc").isNull().alias("last"), *_AT))
     some = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), first.alias("first"), F.collect_set("salt").alias("salts")).filter("n > 1")
     some = work.save(some, f"{name}_keys")
     # Range partitions in order, sorted: the running number is a rank over the whole corpus.
-    ranks = some.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id())
+    ranks = some.repartitionByRange(*(by or keys)).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id())
     ranks = work.save(ranks.select(*keys, "rank", F.col("first.uid").alias("fuid"), F.col("first.pos").alias("fpos"), F.explode("salts").alias("salt")), f"{name}_ranks")
     later = ~((F.col("fuid") == F.col("uid")) & (F.col("fpos") == F.col("pos")))
     out = work.save(rows.join(ranks.hint("merge"), [*keys, "salt"]).select(*_AT, "words", "rank", "fuid", "fpos", later.alias("later")), name)
@@ -63,7 +63,7 @@ def line_words(line: Column) -> Column:
 
 def _lines(heads: DataFrame) -> DataFrame:
     each = heads.select(F.col("doc_id").alias("doc"), "uid", F.posexplode("x").alias("pos", "line"))
-    return each.select(*_AT, "line.h", "line.said", "line.words")
+    return each.select(*_AT, "line.h", "line.said")
 
 
 def ranks(work: Work, heads: DataFrame, min_lines: int) -> dict[int, DataFrame]:
@@ -75,7 +75,9 @@ def ranks(work: Work, heads: DataFrame, min_lines: int) -> dict[int, DataFrame]:
     shared = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.collect_set(salt_of("uid", "pos")).alias("salts")).filter("n > 1")
     shared = work.save(shared.select("h", F.explode("salts").alias("salt")), "shared")
     known = lines.withColumn("salt", salt_of("uid", "pos")).join(shared.hint("merge"), ["h", "salt"], "left_semi")
-    at = {1: _ranked(work, known.select(*_AT, "words", "said"), ["said"], "depth1")}
+    # Hashes deal the lines evenly, and keep the range bounds short.
+    known = known.select(*_AT, line_words(F.col("said")).alias("words"), "h", "said")
+    at = {1: _ranked(work, known, ["h", "said"], "depth1", ["h"])}
     work.drop("shared")
     depth, power = 1, 1
     while True:
@@ -120,7 +122,7 @@ def _found(docs: DataFrame, min_lines: int, long_line: int) -> tuple[DataFrame,
     """(heads: doc_id, sha, uid and x, an element per line; the runs to delete: uid, pos, length, fuid, fpos)."""
     work = Work(docs.sparkSession, "lines")
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    cut = F.transform(split, lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("said"), line_words(s).alias("words")))
+    cut = F.transform(split, lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("said")))
     heads = work.save(docs.select("doc_id", text_sha().alias("sha"), F.monotonically_increasing_id().alias("uid"), cut.alias("x")), "heads")
     at = ranks(work, heads, min_lines)
     found = work.save(_run_heads(at), "run_heads")
@@ -135,7 +137,7 @@ def runs(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE
     """doc_id, uid, first, length, words, first_uid, first_line: the later copies of maximal runs of lines that are deleted, where
     each begins and where its first copy does.  uid numbers the input rows.  Runs may overlap; docs without any have no row."""
     heads, found = _found(docs, min_lines, long_line)
-    said = heads.select("doc_id", "uid", F.transform("x", lambda v: v["words"]).alias("each"))
+    said = heads.select("doc_id", "uid", F.transform("x", lambda v: line_words(v["said"])).alias("each"))
     words = F.aggregate(F.slice("each", F.col("pos") + 1, F.col("length")), F.lit(0), lambda a, v: a + v)
     rows = found.select("uid", "pos", "length", "fuid", "fpos").join(said.hint("merge"), "uid")
     return rows.select("doc_id", "uid", F.col("pos").alias("first"), "length", words.alias("words"), F.col("fuid").alias("first_uid"), F.col("fpos").alias("first_line"))
