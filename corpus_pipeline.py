@@ -33,7 +33,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes."""
-    return packing.pack(docs, f"{registry.TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(docs, registry.tokenizer_path())
 
 
 STAGES = [

@@ -1,6 +1,8 @@
 """Corpus operators against brute force, exact round trips and held-out accuracy, with awkward rows."""
 
+import functools
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -19,7 +21,7 @@ pytest.importorskip("weftline.llm.registry")
 from weftline.llm import components, decontaminate, exact_dedup, langid, licences, line_dedup, packing, quality, registry, samples, simhash, token_counts, toxicity, wordbpe  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-BPE = f"{registry.TOKENIZERS}/word_bpe_49k.json"
+BPE = registry.tokenizer_path()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, rank string, part long, words long"
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -198,11 +200,46 @@ def test_decontaminate(spark, nothing):
     assert decontaminate.contaminated(d, b.limit(0)).filter("n_hit > 0").count() == 0
 
 
-def test_proximity(spark):
-    passage = [f"p{i}" for i in range(13)]
-    loose = " ".join(x for p in passage[:12] for x in (p, "so") if x == p or p in ("p3", "p7"))
-    rows = decontaminate.proximity(table(spark, [(1, "a " * 50 + loose), (2, "nothing near")]), spark.createDataFrame([(9, " ".join(passage))], "item_id long, text string")).collect()
-    assert [(r["doc_id"], r["item_id"], r["terms"]) for r in rows] == [(1, 9, 12)]
+def brute_near(docs, items, share=0.8, slack=4):
+    """{(doc, item)} by the words of every passage around every probed term."""
+    rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: rx.findall((t or "").translate(UP))
+    tokens = [(d, split(t)) for d, t in docs]
+    df = Counter(x for _, w in tokens for x in w)
+    out = set()
+    for item, t in items:
+        w = split(t)
+        for k in range(max(1, len(w) - 12)) if w else ():
+            win = w[k : k + 13]
+            terms = set(win)
+            need = math.ceil(len(terms) * share - 1e-9)
+            rare = sorted(terms, key=lambda x: (df[x], win.index(x)))[: len(terms) - need + 1]
+            for d, words in tokens:
+                for at, x in enumerate(words):
+                    if x in rare:
+                        start = at - win.index(x)
+                        if len(terms & set(words[max(0, start - slack) : max(0, start + len(win) + slack)])) >= need:
+                            out.add((d, item))
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 1 << 15])
+def test_proximity(spark, nothing, block, monkeypatch):
+    """Changed, inserted and lost words; ties, repeats and nulls; windows in one block and in several."""
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    monkeypatch.setattr(decontaminate, "WORDS_BLOCK", block)
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(20)]
+    words = [*passage, "the", "of", "x"]
+    docs = [(1, "a " * 50 + " ".join(x for p in passage[:14] for x in (p, "so") if x == p or p in ("p3", "p7"))), (2, "nothing near"), (3, " ".join(passage[:9])), (4, " ".join([*passage[:5], "y", *passage[6:9], "z", *passage[9:20]]))]
+    docs += [(5, None), (None, " ".join(passage)), (None, " ".join(passage)), (6, ""), *((10 + k, " ".join(rng.choice(words) for _ in range(40))) for k in range(12))]
+    items = [(9, " ".join(passage)), (10, "the of the of the x"), (11, None), (12, ""), (13, "P3 p4"), (9, " ".join(passage))]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.matches(table(spark, docs), b, block=block)[2:]
+    got = rows[0].join(rows[1], "wid").select("doc_id", "item_id").distinct().collect()
+    assert {tuple(r) for r in got} == brute_near(docs, items)
+    assert {(1, 9), (4, 9), (None, 9)} <= {tuple(r) for r in got} and (3, 9) not in {tuple(r) for r in got}
+    assert decontaminate.proximity(nothing, b).count() == 0
 
 
 TEXTS = ["It's we're I'll don't 'tis '' 's's ''s x'd'm 've", "", "   ", "Ünï 12 3½ ²x a_b ’s", "İstanbul ΣΑΣ", "a\x1cb", "<|endoftext|>hi", "x" * 300, "é" * 40 + " b", "áb", "漢字 かな!", "\n\t mixed\r\nlines "]
@@ -280,16 +317,37 @@ def test_token_counts(spark, awkward, nothing):
     lib = wordbpe.word_bpe(BPE).lib
     rows = token_counts.token_counts(awkward, BPE).collect()
     assert Counter((r["doc_id"], r["tokens"]) for r in rows) == Counter((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in AWKWARD)
-    edited = awkward.filter("doc_id = 5").withColumn("edits", F.expr("array(struct(100 as at, 3 as removed, 'new words' as inserted))"))
-    first = token_counts.token_counts(edited, BPE)
+    edits = F.expr("array(struct(100 as at, 3 as removed, 'new words' as inserted), null)")
+    first = token_counts.token_counts(awkward.filter("doc_id = 5"), BPE, edits)
     r = first.first()
-    assert r["tokens_after"] == len(lib.encode(LONG[:100] + "new words" + LONG[103:], add_special_tokens=False).ids)
+    new = LONG[:100] + "new words" + LONG[103:]
+    assert r["tokens_after"] == len(lib.encode(new, add_special_tokens=False).ids)
     assert r["chars_encoded"] < 1000
-    kept = edited.join(first.select("doc_id", "leaf_chars", "leaf_tokens"), "doc_id")
-    assert token_counts.token_counts(kept, BPE).first()["tokens_after"] > 0
+    # The edited text with its tree, which is used; and trees that aren't the text's, which aren't.
+    kept = table(spark, [(5, new)]).withColumn("mine", F.struct(F.lit(r["leaf_chars"]).alias("leaf_chars"), F.lit(r["leaf_tokens"]).alias("leaf_tokens")))
+    again = token_counts.token_counts(kept, BPE, F.expr("array(struct(7000 as at, 0 as removed, 'x' as inserted))"), "mine").first()
+    assert again["tokens"] == r["tokens_after"] and again["chars_encoded"] < 1000
+    assert again["tokens_after"] == len(lib.encode(new[:7000] + "x" + new[7000:], add_special_tokens=False).ids)
+    wrong = F.struct(F.array(F.lit(9)).alias("leaf_chars"), F.array(F.lit(99)).alias("leaf_tokens"))
+    clash = awkward.withColumns({"leaf_chars": F.array(F.lit(9)), "leaf_tokens": F.array(F.lit(99)), "tree": F.lit(1), "edits": F.lit(2)})
+    for made in (token_counts.token_counts(clash, BPE), token_counts.token_counts(awkward, BPE, tree=wrong)):
+        assert Counter((x["doc_id"], x["tokens"]) for x in made.collect()) == Counter((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in AWKWARD)
     assert token_counts.token_counts(nothing, BPE).count() == 0
 
 
+def test_word_bpe_collisions(monkeypatch):
+    """Pre-tokens that share a hash with another one still get their own ids and counts; long texts come in pieces."""
+    texts = ["one two three four, one", "five six it's seven two", "", "ab " * 90]
+    bpe = wordbpe.WordBpe(BPE)
+    want = [bpe.lib.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(wordbpe, "CHUNK", 16)
+    assert [list(x) for x in bpe.encode(texts)] == want
+    bpe = wordbpe.WordBpe(BPE)
+    bpe.mix[:] = 0  # all pre-tokens of one length have one hash
+    assert [list(x) for x in bpe.encode(texts)] == want
+    assert [int(n.sum()) for _, n in bpe.pretoken_counts(texts)] == [len(x) for x in want]
+
+
 def brute_lines(rows, min_lines=3, long_line=40):
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
     seen, out = {1: set(), min_lines: set()}, {}
@@ -475,13 +533,50 @@ def test_language(spark, nothing):
     assert {r["lang_pred"] for r in langid.predicted(docs, langid.train(docs.limit(0))).select("lang_pred").distinct().collect()} == {"und"}
 
 
+def plain_ppm(samples, text, order=3):
+    """Bits of a text: PPM, method C with exclusion, by the recursion itself."""
+    follow = defaultdict(Counter)
+    for t in samples:
+        t = b"\0" * order + t
+        for at in range(order, len(t)):
+            for k in range(order + 1):
+                follow[t[at - k : at]][t[at]] += 1
+
+    @functools.cache
+    def chances(context):
+        lower = chances(context[1:]) if context else [1 / 256] * 256
+        seen = follow.get(context)
+        if not seen:
+            return lower
+        total, left = seen.total() + len(seen), 1 - sum(lower[b] for b in seen)
+        if left <= 1e-12:
+            return [seen[b] / seen.total() for b in range(256)]
+        return [seen[b] / total if b in seen else lower[b] * len(seen) / total / left for b in range(256)]
+
+    text = b"\0" * order + text
+    return -sum(math.log2(chances(text[at - order : at])[text[at]]) for at in range(order, len(text)))
+
+
 def test_language_code_lengths():
-    """Probabilities of every context add up to one, and a text's length is its bytes' sum."""
-    model = langid.fit({"a": [b"abracadabra", b"abc"], "b": [b"xyzzy xyz"]}, contexts=5)
-    size = int(model.classes.max()) + 1
-    assert np.allclose(np.exp2(-model.table.reshape(-1, size, 2).astype(float)).sum(1), 1, atol=1e-5)
-    both = model.lengths([b"abra", b"", b"xyz"])
-    assert both[0, 0] < both[0, 1] and both[2, 1] < both[2, 0] and not both[1].any()
+    """Against a plain PPM, with bytes, contexts and languages that training didn't show."""
+    rng = random.Random(6)
+    samples = {k: ["".join(rng.choices(a, k=rng.randrange(60))).encode() for _ in range(9)] for k, a in {"a": "abcd ", "b": "xyz\u00e9 ", "c": "ab\u4e00\u4e8c", "d": "q", "e": "abx "}.items()}
+    model = langid.fit(samples)
+    assert isinstance(model, langid.Models) and model.languages == list("abcde")
+    texts = [b"", b"abcd", "x\u00e9z ab\u4e00 q\u0416".encode(), bytes(range(256)), "".join(rng.choices("abxyq \u4e8c", k=200)).encode()]
+    got = model.lengths(texts)
+    want = np.array([[plain_ppm(samples[k], t) for k in "abcde"] for t in texts])
+    assert np.allclose(got, want, rtol=1e-5, atol=1e-3)
+
+
+def test_language_long_texts(monkeypatch):
+    """A text in pieces has the code length of the whole."""
+    model = langid.fit({"a": [b"abcabcabd" * 9], "b": [b"xyzxyx " * 9]})
+    text = b"abcab xyzabd" * 50
+    whole = model.lengths([text, b"xyz"])
+    monkeypatch.setattr(langid, "CHUNK", 64)
+    monkeypatch.setattr(samples, "CHUNK", 64)
+    assert np.allclose(model.lengths([text, b"xyz"]), whole, rtol=1e-6)
 
 
 def test_language_learns_all(spark):
@@ -503,15 +598,6 @@ def test_language_learns_all(spark):
     assert [model.languages[i] for i in best] == [k for k, _ in fresh]
 
 
-def test_language_bytes():
-    """Every byte value is a symbol of its own: tables of other languages code unknown bytes as well as all others."""
-    model = langid.fit({k: [(k * 5).encode()] for k in ("a", "b", "c", "d", "\u4e00")})
-    assert isinstance(model, langid.Models) and len(model.parts) == 2
-    for p in model.parts:
-        first = [p.lengths([bytes([b])])[0] for b in range(1, 256)]
-        assert np.allclose(np.exp2(-np.array(first)).sum(0), 1, atol=0.01)
-
-
 def test_pipeline(spark):
     """Every stage against brute force on its own input."""
     import corpus_pipeline as cp

@@ -156,7 +156,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
         r = r - first[i]
         return pd.DataFrame({"sequence_id": sequence[i] + r // each[i], "offset": offset[i] + r % each[i] * n})
 
-    rows = made.join(own.select("length", "task", "before"), ["length", "task"])
+    # A row per length and task: as this grows with the corpus, it is dealt at every size.
+    rows = made.join(own.select("length", "task", "before").hint("merge"), ["length", "task"])
     rows = rows.withColumn("x", placed("length", F.col("rank") + F.col("before")))
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "x.sequence_id", "x.offset")
 

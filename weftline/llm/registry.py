@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from . import decontaminate, exact_dedup, langid, licences, line_dedup, packing, quality, simhash, token_counts, toxicity
 from .samples import remainder
 
-#: Where the vocabulary files of public tokenizers are.
-TOKENIZERS = "/opt/tokenizers"
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,7 +39,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
-    return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "near_sha256")
 
 
 #: translate() lower-cases A-Z alone.
@@ -50,10 +54,19 @@ places AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, si
 grams AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS said FROM places),
 hits AS (SELECT g.doc_id, g.i, g.n, win.item_id FROM grams g JOIN win ON g.said = win.said AND g.n = win.n),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id),
+pw AS (SELECT DISTINCT said, string_split(said, ' ') AS ph FROM win),
+tk AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS place FROM d),
+df AS (SELECT term, count(*) AS df FROM tk GROUP BY 1),
+pt AS (SELECT said, ph, term, min(off) AS off FROM (SELECT said, ph, unnest(ph) AS term, unnest(range(len(ph))) AS off FROM pw) GROUP BY 1, 2, 3),
+pr AS (SELECT *, len(list_distinct(ph)) AS k, (4 * len(list_distinct(ph)) + 4) // 5 AS need, row_number() OVER (PARTITION BY said ORDER BY coalesce(df, 0), off) AS rank FROM pt LEFT JOIN df USING (term)),
+nr AS (SELECT DISTINCT tk.doc_id, pr.said FROM tk JOIN pr USING (term) JOIN d USING (doc_id) WHERE rank <= k - need + 1
+       AND len(list_intersect(w[greatest(place - off - 4, 0) + 1:place - off + len(ph) + 4], ph)) >= need),
+ni AS (SELECT doc_id, count(*) AS n_near, string_agg(x, ',' ORDER BY x) AS near FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM nr JOIN win USING (said)) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(near, '')) AS near_sha256
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN ni USING (doc_id)
 """
 
 
@@ -62,7 +75,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
+def op2_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Counts of every text, and after three edits of it, at places drawn from doc_id: a cut, an insertion and a replacement."""
     docs = _read(spark, sf_dir, "documents")
     n = F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1))
@@ -72,7 +85,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKEN
         F.struct(at[1], F.lit(0).alias("removed"), F.lit(" an inserted passage, it's new").alias("inserted")),
         F.struct(at[2], F.lit(7).alias("removed"), F.lit("replaced").alias("inserted")),
     )
-    rows = token_counts.token_counts(docs.withColumn("edits", edits), tokenizer)
+    rows = token_counts.token_counts(docs, tokenizer or tokenizer_path(), edits)
     return rows.select("doc_id", "tokens", "tokens_after", "chars_after", "chars_encoded", F.size("leaf_tokens").alias("leaves"))
 
 
@@ -117,8 +130,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (remainder(4) == 2).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.KEEP).cast("int").alias("predicted"))
 
 
-def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer)
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .wordbpe import WordBpe, word_bpe
@@ -124,14 +124,15 @@ def _run(tokenizer: str, kept: bool):
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             edits = b.column("edits").to_pylist()
-            if kept:
-                old = zip(b.column("leaf_chars").to_pylist(), b.column("leaf_tokens").to_pylist(), strict=True)
-                leaves = [(np.array(c), np.array(t)) for c, t in old]
-            else:
-                leaves = [x for k in range(0, len(texts), 256) for x in build(bpe, texts[k : k + 256])]
+            old = b.column("tree").to_pylist() if kept else [None] * len(texts)
+            # A tree that isn't the text's (of another length, or half missing) is built anew.
+            fits = [x is not None and None not in x.values() and len(x["leaf_chars"]) == len(x["leaf_tokens"]) > 0 and sum(x["leaf_chars"]) == len(t) for x, t in zip(old, texts, strict=True)]
+            missing = [k for k, ok in enumerate(fits) if not ok]
+            made = iter([x for k in range(0, len(missing), 256) for x in build(bpe, [texts[i] for i in missing[k : k + 256]])])
+            leaves = [(np.array(x["leaf_chars"]), np.array(x["leaf_tokens"])) if ok else next(made) for x, ok in zip(old, fits, strict=True)]
             trees = [Tree(c, t) for c, t in leaves]
             before = [t.tokens for t in trees]
-            encoded = edit_all(bpe, trees, texts, [[(e["at"] or 0, e["removed"] or 0, e["inserted"] or "") for e in todo or []] for todo in edits])
+            encoded = edit_all(bpe, trees, texts, [[(e["at"] or 0, e["removed"] or 0, e["inserted"] or "") for e in todo or [] if e] for todo in edits])
             after, news = [t.tokens for t in trees], [len(t) for t in texts]
             own = [t.sums[t.n : t.n + t.leaves] for t in trees]
             chars, tokens = [x[:, 0].tolist() for x in own], [x[:, 1].tolist() for x in own]
@@ -141,16 +142,17 @@ def _run(tokenizer: str, kept: bool):
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, edits: Column | str | None = None, tree: Column | str | None = None) -> DataFrame:
     """One row per input row: doc_id, tokens, tokens_after, chars_after, chars_encoded, leaf_chars, leaf_tokens.
 
-    docs has doc_id and text, and may have edits, array<struct<at, removed, inserted>> (characters; applied
-    in order, each to the text that the ones before have left; places beyond the text are moved to its end), and the leaf_chars and leaf_tokens of
-    an earlier run, which are then used rather than built.  Null texts count as empty; null edits are none.
+    edits is array<struct<at, removed, inserted>> (characters; applied in order, each to the text that the ones before have left; places
+    beyond the text are moved to its end); tree is struct<leaf_chars, leaf_tokens> of the text from an earlier run, used rather
+    than built, but where it is null or not as long as the text.  Both are arguments, so that docs may have columns of any names, which
+    aren't read.  Null texts count as empty; null edits are none.  An empty table gives an empty table.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    kept = {"leaf_chars", "leaf_tokens"} <= set(docs.columns)
     none = F.array().cast("array<struct<at:int,removed:int,inserted:string>>")
-    src = docs.select("doc_id", "text", docs["edits"] if "edits" in docs.columns else none.alias("edits"), *(["leaf_chars", "leaf_tokens"] if kept else []))
+    named = lambda c: F.col(c) if isinstance(c, str) else c
+    src = docs.select("doc_id", "text", (none if edits is None else named(edits)).alias("edits"), *([] if tree is None else [named(tree).alias("tree")]))
     out = f"doc_id {kind}, tokens long, tokens_after long, chars_after long, chars_encoded long, leaf_chars array<int>, leaf_tokens array<int>"
-    return src.mapInArrow(_run(tokenizer, kept), out)
+    return src.mapInArrow(_run(tokenizer, tree is not None), out)

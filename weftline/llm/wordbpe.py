@@ -4,12 +4,13 @@ The file's pipeline is: NFC, white space to blanks, lower case; pre-tokens by a
 (contractions, letter runs, single digits, runs of anything else); BPE on each pre-token's bytes
 with an end-of-word mark.  No pre-token depends on another, so each distinct
 one is encoded once per worker, and all of them at a time in numpy; texts are then assembled by
-lookup.  Texts with characters whose treatment depends on Unicode versions or on
+lookup, by hash first and then character by character.  Texts with characters whose treatment depends on Unicode versions or on
 neighbours (outside PLAIN, or special tokens spelled out) go through the library itself.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -76,6 +77,8 @@ class WordBpe:
         self.at, self.n, self.words = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
         self.flat = np.zeros(1 << 16, np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32)
         self.used = 0
+        # The pre-tokens themselves, side by side, and where each begins.
+        self.spelt, self.spelt_at, self.spelt_used = np.zeros(1 << 16, np.uint16), np.zeros(1 << 12, np.int64), 0
         # A direct-mapped table before the sorted one.
         self.slot_hash = np.zeros(1 << SLOT_BITS, np.uint64)
         self.slot_place = np.zeros(1 << SLOT_BITS, np.int32)
@@ -164,9 +167,16 @@ class WordBpe:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
         while self.words + len(n) > len(self.at):
-            self.at, self.n = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.n, np.zeros_like(self.n)])
+            self.at, self.n, self.spelt_at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n, self.spelt_at))
         own = slice(self.words, self.words + len(n))
         self.at[own], self.n[own] = self.used + np.cumsum(n) - n, n
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint16)
+        while self.spelt_used + len(chars) > len(self.spelt):
+            self.spelt = np.concatenate([self.spelt, np.zeros_like(self.spelt)])
+        self.spelt[self.spelt_used : self.spelt_used + len(chars)] = chars
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.spelt_at[own] = self.spelt_used + np.cumsum(sizes) - sizes
+        self.spelt_used += len(chars)
         where = np.searchsorted(self.hash, hashes)
         self.hash = np.insert(self.hash, where, hashes)
         self.place = np.insert(self.place, where, np.arange(own.start, own.stop))
@@ -197,11 +207,11 @@ class WordBpe:
         word = kind[bound] != SPACE
         return code, bound[word], ends[word]
 
-    def _lookup(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(place of each pre-token in the store, its start)."""
+    def _lookup(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each pre-token in the store, its start, the numbers of pre-tokens that only share a hash with what is stored there)."""
         code, starts, ends = self.pretokens(text)
         if not len(starts):
-            return np.zeros(0, np.int64), starts
+            return np.zeros(0, np.int64), starts, starts
         n = ends - starts
         value = self.mix[code]
         begin = starts if starts[0] == 0 else np.concatenate(([0], starts))
@@ -211,8 +221,8 @@ class WordBpe:
         sums = np.cumsum(value, dtype=np.uint64)
         h = sums[ends - 1] - sums[starts] + value[starts] + n.astype(np.uint64) * _END
         h ^= h >> np.uint64(32)
-        for i in np.flatnonzero(n > LONGEST):  # beyond the table of steps: by content
-            h[i] = np.uint64(hash(text[starts[i] : ends[i]]) & 0xFFFFFFFFFFFFFFFF)
+        for i in np.flatnonzero(n > LONGEST):  # beyond the table of steps
+            h[i] = np.uint64(int.from_bytes(hashlib.blake2b(text[starts[i] : ends[i]].encode(), digest_size=8).digest(), "little"))
         if len(self.hash) > KEPT:
             self._forget()
         slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -228,7 +238,12 @@ class WordBpe:
                 i = np.searchsorted(self.hash, found)
             entry[miss] = self.place[i][back]
             self.slot_hash[slot[miss]], self.slot_place[slot[miss]] = h[miss], entry[miss]
-        return entry, starts
+        ends_at = np.cumsum(n)
+        inside = np.arange(ends_at[-1]) - np.repeat(ends_at - n, n)
+        # Beyond the stored characters lies another pre-token, or nothing.
+        stored = np.minimum(np.repeat(self.spelt_at[entry], n) + inside, len(self.spelt) - 1)
+        other = self.spelt[stored] != code[np.repeat(starts, n) + inside]
+        return entry, starts, np.unique(np.searchsorted(ends_at, np.flatnonzero(other), side="right")) if other.any() else starts[:0]
 
     def _is_plain(self, text: str) -> bool:
         if text.isascii():
@@ -238,39 +253,75 @@ class WordBpe:
             ok = code.max() < len(self.plain) and bool(self.plain[code].all())
         return ok and not any(s in text for s in self.special)
 
-    def _groups(self, texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-        """Of the plain texts, some at a time: (which, places in the store, starts, where each text begins)."""
-        plain = [k for k, t in enumerate(texts) if self._is_plain(t)]
+    def _groups(self, texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+        """Of the plain texts, some at a time: (which, places in the store, starts, where each begins, the texts).
+
+        A text longer than CHUNK comes in pieces that end after a blank, as no pre-token has one inside.  Pieces in which a
+        pre-token has another one's hash are left to the library: their place is the number -1.
+        """
+        parts = [(k, x) for k, t in enumerate(texts) if self._is_plain(t) for x in self._pieces(t)]
         at = 0
-        while at < len(plain):
-            ks, size = [], 0
-            while at < len(plain) and (not ks or size + len(texts[plain[at]]) <= CHUNK):
-                ks.append(plain[at])
-                size += len(texts[plain[at]]) + 1
+        while at < len(parts):
+            ks, size, first = [], 0, at
+            while at < len(parts) and (not ks or size + len(parts[at][1]) <= CHUNK):
+                ks.append(parts[at][0])
+                size += len(parts[at][1]) + 1
                 at += 1
-            begin = np.cumsum([0, *(len(texts[k]) + 1 for k in ks)])
-            yield ks, *self._lookup("\n".join(texts[k].lower() for k in ks)), begin
+            some = [x for _, x in parts[first:at]]
+            begin = np.cumsum([0, *(len(x) + 1 for x in some)])
+            place, starts, wrong = self._lookup("\n".join(x.lower() for x in some))
+            place[wrong] = -1
+            yield ks, place, starts, begin, some
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        out, at = [], 0
+        while len(text) - at > CHUNK:
+            end = max(text.rfind(" ", at, at + CHUNK), text.rfind("\n", at, at + CHUNK)) + 1
+            if end <= at:
+                break
+            out.append(text[at:end])
+            at = end
+        return [*out, text[at:]]
 
     def pretoken_counts(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """(starts, token counts) of each text's pre-tokens; None for texts that aren't plain."""
-        out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
-        for ks, i, starts, begin in self._groups(texts):
+        got: dict[int, list] = {}
+        for ks, i, starts, begin, some in self._groups(texts):
             n, cut = self.n[i], np.searchsorted(starts, begin)
+            for k in np.flatnonzero(i < 0):
+                j = np.searchsorted(begin, starts[k], side="right") - 1
+                word = self.pretoken_at(some[j].lower(), int(starts[k] - begin[j]))
+                n[k] = len(self.lib.encode(word, add_special_tokens=False).ids)
             for j, k in enumerate(ks):
-                out[k] = starts[cut[j] : cut[j + 1]] - begin[j], n[cut[j] : cut[j + 1]]
-        return out
+                done = got.setdefault(k, [0, [], []])
+                done[1].append(starts[cut[j] : cut[j + 1]] - begin[j] + done[0])
+                done[2].append(n[cut[j] : cut[j + 1]])
+                done[0] += len(some[j])
+        return [(np.concatenate(got[k][1]), np.concatenate(got[k][2])) if k in got else None for k in range(len(texts))]
+
+    def pretoken_at(self, text: str, start: int) -> str:
+        """The pre-token of a lower-cased plain text that begins there."""
+        _, starts, ends = self.pretokens(text)
+        return text[start : int(ends[np.searchsorted(starts, start)])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens, as unsigned integers."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        for ks, i, starts, begin in self._groups(texts):
-            n, place = self.n[i], self.at[i]
+        got: dict[int, list[np.ndarray]] = {}
+        for ks, i, starts, begin, some in self._groups(texts):
+            n, place = np.where(i < 0, 0, self.n[i]), self.at[i]
             ends = np.cumsum(n)
             ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(place - (ends - n), n)]
-            cut = np.concatenate(([0], ends))[np.searchsorted(starts, begin)]
+            cut = np.searchsorted(starts, begin)
+            at = np.concatenate(([0], ends))[cut]
+            wrong = set(np.searchsorted(begin, starts[i < 0], side="right") - 1)
             for j, k in enumerate(ks):
-                out[k] = ids[cut[j] : cut[j + 1]]
-        return [np.array(self.lib.encode(t, add_special_tokens=False).ids, np.uint32) if x is None else x for x, t in zip(out, texts, strict=True)]
+                own = self._by_library(some[j]) if j in wrong else ids[at[j] : at[j + 1]]
+                got.setdefault(k, []).append(own)
+        return [np.concatenate(got[k]) if k in got else self._by_library(t) for k, t in enumerate(texts)]
+
+    def _by_library(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=2)
