@@ -1,5 +1,6 @@
 """Linkage operators: hand-worked values, brute force, and properties."""
 
+import dataclasses
 import itertools
 import math
 import os
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions import similarity as sim
 from weftline.functions import text
-from weftline.operators import adaptive, canon, components, decide, evaluate, lexicon, models, retrieve, stack, validate
-from weftline.plans import linkage, registry
+from weftline.operators import adaptive, canon, components, decide, evaluate, features, lexicon, models, retrieve, stack, validate
+from weftline.plans import learn, linkage, registry
+from weftline.plans.config import LinkageConfig
 from weftline.plans.fixtures import view
 from weftline.sources import tables
 
@@ -225,7 +227,10 @@ def test_self_train(spark):
 def test_files(spark, tmp_path):
     rows = spark.createDataFrame([("S1-1", "S2-1,S3-1"), ("S1-2", "")], "s1 string, matched string")
     out = f"{tmp_path}/sub"
-    tables.write_submission(rows, out, "source1_entity_id", "matched_entity_ids")
+    tables.write_submission(rows.repartition(2), out, "source1_entity_id", "matched_entity_ids")
+    tables.merge_parts(spark, out, f"{tmp_path}/one.tsv")
+    with open(f"{tmp_path}/one.tsv") as f:
+        assert f.read() == "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S3-1\nS1-2\t\n"
     need = rows.select("s1")
     assert validate.check(spark, out, need) == (0, [])
     code, said = validate.check(spark, out, spark.createDataFrame([("S1-9",)], "s1 string"))
@@ -259,6 +264,148 @@ def test_link(spark):
     assert hits / max(len(claimed), 1) > 0.5
 
 
+SMALL = LinkageConfig(rounds=6, prune_rounds=5, depth=3, miss_priors=(0.0, 0.2), penalties=(0.0,))
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    s1, others, truth = view(spark, SF, "s1"), view(spark, SF, "others"), tables.truth_pairs(view(spark, SF, "truth"))
+    lone = spark.createDataFrame([("S1-lone", "Nowhere Ltd", "1 Road", "Z")], s1.schema)
+    s1 = s1.unionByName(lone)
+    return s1, others, truth, *linkage.train(s1, others, truth, SMALL)
+
+
+def test_trained(spark, trained, tmp_path):
+    """Training, saving, loading and predicting; held-out entities have a floor."""
+    s1, others, truth, matcher, scored = trained
+    assert matcher.f05 > 0.85
+    names = features.feature_names()
+    assert len(names) == 69 and set(names) <= set(scored.columns) and len(names) == len(set(names))
+    tables.save_matcher(spark, matcher, f"{tmp_path}/m")
+    again = tables.load_matcher(spark, f"{tmp_path}/m")
+    assert again.columns2 == matcher.columns2 and (again.miss, again.penalty, again.f05) == (matcher.miss, matcher.penalty, matcher.f05)
+    sets, lists, _ = linkage.predict(again, s1, others, SMALL)
+    want = decide.to_submission(linkage.matched(matcher, scored), s1.select(F.col("entity_id").alias("s1")))
+    assert sorted(map(tuple, sets.collect())) == sorted(map(tuple, want.collect()))
+    assert {r["s1"]: r["matched"] for r in sets.collect()}["S1-lone"] == ""
+    assert validate.outside_candidates(sets, lists).count() == 0 and validate.duplicate_rows(sets).count() == 0
+    held = linkage.score_sets(sets, truth).filter(models.entity_fold(F.col("s1")) == 0)
+    assert evaluate.macro_f05(held).first()["f05"] == pytest.approx(matcher.f05, abs=1e-6)
+    assert models.importance(matcher.first, matcher.columns)[0][1] > 0
+
+
+def test_stacking(spark, trained, tmp_path):
+    """The kit's way out and back, outside scores, halves, and a stacker that uses a score that knows the truth."""
+    s1, others, truth, matcher, scored = trained
+    scored = scored.withColumn("validation", F.lit(True))
+    ids = s1.select(F.col("entity_id").alias("s1"))
+    tables.export_kit(spark, {"train": scored, "test": scored}, ids, truth, matcher, f"{tmp_path}/kit")
+    splits, got_ids, got_truth, meta = tables.import_kit(spark, f"{tmp_path}/kit")
+    assert got_ids.count() == ids.count() and got_truth.count() == truth.count() and meta["f05"] == matcher.f05
+    ce = splits["train"].select("s1", "cand", (0.1 + 0.8 * F.col("label")).alias("ce"))
+    rows = stack.with_scores(splits["train"], ce, "ce").withColumn("p_logit", models.logit(F.col("p")))
+    got = models.cross_stacked(rows, list(models.STACK_COLUMNS), rounds=4)
+    assert got.count() == rows.count()
+    assert got.agg(evaluate.accuracy(F.col("stacked"), F.col("label"))).first()[0] > 0.99
+
+
+def test_unseen_country(spark):
+    s1, others, truth = view(spark, SF, "s1"), view(spark, SF, "others"), tables.truth_pairs(view(spark, SF, "truth"))
+    got = linkage.unseen_country(s1, others, truth, "C2", LinkageConfig(rounds=3, prune_rounds=3, depth=3, miss_priors=(0.0,), penalties=(0.0,))).first()
+    assert got["n"] == s1.filter("country = 'C2'").count() and got["f05"] > 0.6
+
+
+def test_candidates_with_vectors(spark):
+    """Dense neighbours and twins bring pairs in that no text channel finds; ids that the records haven't are dropped."""
+    schema = "entity_id string, business_name string, business_address string, country string"
+    s1 = spark.createDataFrame([("S1-1", "alpha works", "1 oak street", "X"), ("S1-2", "ufo", "77 rd", "X")], schema)
+    others = spark.createDataFrame([("S2-1", "alpha works", "1 oak street", "X"), ("S3-1", "zzzz", "", "X"), ("S3-2", "qqqq", "", "X")], schema)
+    index, query = linkage.canonical_sides(s1, others)
+    e = spark.createDataFrame([("S1-1", [1.0, 0.0]), ("S1-2", [0.0, 1.0]), ("S2-1", [0.9, 0.1]), ("S3-1", [0.8, 0.2]), ("S3-2", [0.1, 0.9])], "id string, v array<double>")
+    dense = spark.createDataFrame([("S3-2", "S1-2", 0.9), ("S9-9", "S1-2", 0.9)], "q string, d string, s double")
+    links = retrieve.twins(e.filter("id = 'S2-1'"), e.filter("id = 'S3-1'"), 3)
+    config = LinkageConfig(min_df=1, channels={k: dataclasses.replace(c, max_df=1.0) for k, c in LinkageConfig().channels.items()})
+    got = {(r["q"], r["d"]): r for r in linkage.candidates(index, query, config, dense, links, e).collect()}
+    assert set(got) == {("S2-1", "S1-1"), ("S3-1", "S1-1"), ("S3-2", "S1-2")}
+    assert got["S3-1", "S1-1"]["ch_link"] == pytest.approx(0.74) and got["S3-2", "S1-2"]["ch_dense"] == 0.9
+    assert got["S3-2", "S1-2"]["dense_cos"] == 0.9 and got["S2-1", "S1-1"]["exact_hit"] == 1
+
+
+def test_sources(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "A b"), (2, "C+d"), (3, "1")], "x int, country string")
+    tables.write_features(rows, f"{tmp_path}/f")
+    assert sorted(map(tuple, tables.read_features(spark, f"{tmp_path}/f", ["x"]).collect())) == [("1", 3), ("A b", 1), ("C+d", 2)]
+    for name in ("A b", "C+d"):
+        rows.filter(F.col("country") == name).drop("country").toPandas().to_parquet(f"{tmp_path}/train_feat_{name}.parquet")
+    assert sorted(map(tuple, tables.read_features(spark, f"{tmp_path}/train_feat_*.parquet").select("x", "country").collect())) == [(1, "A b"), (2, "C+d")]
+    calls = []
+    make = lambda: calls.append(1) or rows
+    assert tables.write_once(spark, f"{tmp_path}/once", make).count() == tables.write_once(spark, f"{tmp_path}/once", make).count() == 3 and calls == [1]
+    spark.createDataFrame([("S1-1", [1.0])], "entity_id string, embedding array<float>").write.parquet(f"{tmp_path}/e")
+    ids = spark.createDataFrame([("S1-1",), ("S1-2",)], "entity_id string")
+    assert tables.read_embeddings(spark, f"{tmp_path}/e", ids.limit(1)).count() == 1
+    with pytest.raises(Exception, match="no embedding for S1-2"):
+        tables.read_embeddings(spark, f"{tmp_path}/e", ids).collect()
+    s1, others = view(spark, SF, "s1"), view(spark, SF, "others")
+    pairs = tables.truth_pairs(view(spark, SF, "truth"))
+    tables.export_pair_text(pairs, s1, others, f"{tmp_path}/texts", 0.5)
+    train, held = (spark.read.parquet(f"{tmp_path}/texts/{x}") for x in ("train", "eval"))
+    assert 0 < held.count() < train.count() < pairs.count() and train.select("s1").intersect(held.select("s1")).isEmpty()
+    s1.write.partitionBy("src").parquet(f"{tmp_path}/s1") if "src" in s1.columns else s1.write.parquet(f"{tmp_path}/s1")
+    one = tables.read_country(spark, f"{tmp_path}/s1", "C1", ["entity_id"])
+    assert one.columns == ["entity_id"] and one.count() == s1.filter("country = 'C1'").count()
+    plan = one._jdf.queryExecution().toString()
+    assert "EqualTo(country,C1)" in plan and "business_name" not in plan.split("ReadSchema")[-1]
+    assert tables.head(s1, 2, "entity_id").groupBy("country").count().filter("count <> 2").count() == 0
+
+
+def test_learning(spark):
+    """Lexicons from true pairs, without labels and from sure pairs; unknown ids; stop words of all countries."""
+    basic = lambda n: canon.basic(view(spark, SF, n))
+    truth = tables.truth_pairs(view(spark, SF, "truth"))
+    s1, others = basic("s1"), basic("others")
+    got = learn.learn(s1, others, truth, holdout="C2").collect()
+    kinds = {(r["country"], r["kind"]) for r in got}
+    assert ("C2", "generic") in kinds and not any(r["kind"] == "prefix" and r["field"] == "addr" for r in got)
+    with pytest.raises(Exception, match="unknown id in pair S1-1 S2-none"):
+        learn.resolved(spark.createDataFrame([("S1-1", "S2-none")], "s1 string, cand string"), s1, others).collect()
+    some = learn.from_predicted(truth.unionByName(spark.createDataFrame([("S1-1", "S2-none")], "s1 string, cand string")), s1, others, "C1")
+    assert {r["country"] for r in some.collect()} == {"C1"}
+    scored = truth.join(s1.select(F.col("entity_id").alias("s1"), "country"), "s1").withColumn("p", F.lit(0.995))
+    known = spark.createDataFrame([("C0", "addr", "variant", "st", "street", 5.0), ("C1", "addr", "variant", "st", "street", 5.0)], canon.LEXICON)
+    lexicon_, again = learn.self_train(scored, s1, others, known, lambda lex, countries: (lex, countries), 0.99, 10)
+    assert again[1] == ["C2"] and {r["country"] for r in lexicon_.collect()} == {"C0", "C1", "C2"}
+    assert learn.self_train(scored, s1, others, known, lambda *x: x, 0.99, 10**6) == (known, None)
+    with pytest.raises(ValueError):
+        learn.load_maps(known, None)
+    groups = learn.stop_groups(tables.with_source(s1.unionByName(others)))
+    assert {r["country"] for r in groups.collect()} == {"C0", "C1", "C2"}
+    maps = learn.load_maps(known, learn.stop_lexicon(groups))
+    assert canon.canonical(s1, maps).count() == s1.count()
+
+
+def test_label_free(spark):
+    """An abbreviation among the same neighbours, added words, and leading junk; each country by itself."""
+    rng = random.Random(3)
+    places = [f"{a}{b}" for a in "bcdfg" for b in ("alton", "erwick", "inmoor", "oxdale")]
+    clean = [("N", i, f"{rng.randrange(99)} avenue {rng.choice(places)}") for i in range(400)] + [("M", 9000 + i, "avenue square") for i in range(50)]
+    noisy = [("N", i, f"{'to ' if i % 3 == 0 else ''}{rng.randrange(99)} {rng.choice(['av', 'av', 'avenue'])} {rng.choice(places)} {'po box' if i % 2 else ''}") for i in range(500)] + [("M", 9000 + i, "avenue square") for i in range(50)]
+    schema = "country string, doc long, text string"
+    got = {(r["country"], r["kind"], r["key"], r["value"]) for r in lexicon.induce(spark.createDataFrame(clean, schema), spark.createDataFrame(noisy, schema), "addr").collect()}
+    assert ("N", "variant", "av", "avenue") in got and {("N", "generic", "po", ""), ("N", "generic", "box", ""), ("N", "prefix", "to", "")} <= got
+    assert not any(c == "M" for c, *_ in got) and not any(k == "generic" and key in ("av", "avenue") for _, k, key, _ in got)
+
+
+def test_partial():
+    """Windows by bound against all windows."""
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcd ", k=rng.randrange(1, 12))) for _ in range(2))
+        x, y = sorted((a, b), key=len)
+        want = max(sim.ratio(x, y[max(0, i) : i + len(x)]) for i in range(1 - len(x), len(y)))
+        assert sim.partial(a, b) == pytest.approx(want)
+
+
 def connection():
     con = duckdb.connect()
     for f in os.listdir(SF):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import jaro_winkler_udf
 from ..functions.text import has_non_latin
+from ..sources.scratch import written
 
 LEAST, SHARE, GENERIC = 25, 0.10, 600
 
@@ -99,29 +100,78 @@ def junk_prefix(lead: DataFrame, clean: DataFrame) -> DataFrame:
     return rows.filter((F.col("n") >= LEAST) & (F.col("m") < 0.1 * F.col("n")) & ~has_non_latin(F.col("token"))).select("country", "field", "token", "n")
 
 
+#: Label-free learning: the least share of a country's tokens, over-use on the noisy and the clean side, neighbours' cosine, and
+#: the ratio of frequencies that makes a token generic.
+MIN_SHARE, OVER_NOISY, OVER_CLEAN, CONTEXT_COSINE, GENERIC_RATIO = 2e-4, 3.0, 1.15, 0.9, 2.0
+
+
 def _usage(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, n, p) and (token, side, neighbour, n) of (doc, text)."""
-    rows = docs.select("doc", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("pos", "token"))
-    n = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    w = Window.partitionBy("doc").orderBy("pos")
-    near = rows.withColumns({"l": F.lag("token").over(w), "r": F.lead("token").over(w)})
-    near = near.select("token", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("neighbour")), F.struct(F.lit("r").alias("side"), F.col("r").alias("neighbour")))).alias("x")).select("token", "x.*").filter("neighbour is not null")
-    return n.join(F.broadcast(total), F.lit(True)).withColumn("p", F.col("n") / F.col("total")).drop("total"), near.groupBy("token", "side", "neighbour").agg(F.count(F.lit(1)).alias("n"))
-
-
-def label_free_variants(clean: DataFrame, noisy: DataFrame, least: int = 5, over_noisy: float = 3.0, over_clean: float = 1.15, cosine: float = 0.9) -> DataFrame:
-    """key, value, cos: tokens over-used in noisy texts that shorten a token over-used in clean ones and stand among the same neighbours."""
+    """(country, token, n, p) and (country, token, side, neighbour, n) of (country, doc, text); ^ and $ are a text's ends."""
+    t = F.filter(F.split("text", " "), lambda x: x != "")
+    rows = docs.select("country", t.alias("t"))
+    at = lambda i: F.get("t", i)
+    each = F.transform("t", lambda x, i: F.struct(x.alias("token"), F.coalesce(at(i - 1), F.lit("^")).alias("l"), F.coalesce(at(i + 1), F.lit("$")).alias("r")))
+    rows = rows.select("country", F.explode(each).alias("x")).select("country", "x.*")
+    n = rows.groupBy("country", "token").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("country").agg(F.sum("n").alias("total"))
+    side = lambda k: F.struct(F.lit(k).alias("side"), F.col(k).alias("neighbour"))
+    near = rows.select("country", "token", F.explode(F.array(side("l"), side("r"))).alias("x")).select("country", "token", "x.*")
+    used = n.join(F.broadcast(total), "country").withColumn("p", F.col("n") / F.col("total")).drop("total")
+    return used, near.groupBy("country", "token", "side", "neighbour").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _both(clean: DataFrame, noisy: DataFrame) -> DataFrame:
+    """country, token, nc, pc, nn, pn: use on either side, 0 where it has none; numbers left out."""
+    a = clean.select("country", "token", F.col("n").alias("nc"), F.col("p").alias("pc"))
+    b = noisy.select("country", "token", F.col("n").alias("nn"), F.col("p").alias("pn"))
+    return a.join(b, ["country", "token"], "full").na.fill(0).filter(~F.col("token").rlike(r"^[0-9]+$"))
+
+
+def label_free_variants(clean: DataFrame, noisy: DataFrame) -> DataFrame:
+    """country, key, value, cos of texts (country, doc, text): tokens over-used in noisy ones that shorten a token over-used in clean ones, with the
+    same first letter, and stand among the same neighbours; of several, by cosine and then the last in order."""
     (n1, c1), (n2, c2) = _usage(clean), _usage(noisy)
-    both = n2.select("token", F.col("n").alias("nn"), F.col("p").alias("pn")).join(n1.select("token", F.col("n").alias("nc"), F.col("p").alias("pc")), "token", "full").na.fill(0)
-    short = both.filter((F.col("nn") >= least) & (F.col("pn") > over_noisy * F.col("pc"))).select(F.col("token").alias("key"))
-    long = both.filter((F.col("nc") >= least) & (F.col("pc") > over_clean * F.col("pn"))).select(F.col("token").alias("value"))
-    near = short.withColumn("f", F.substring("key", 1, 1)).join(long.withColumn("f", F.substring("value", 1, 1)), "f").filter(is_subsequence(F.col("key"), F.col("value"))).drop("f")
-    length = lambda c, k: c.groupBy(F.col("token").alias(k)).agg(F.sqrt(F.sum(F.col("n") * F.col("n").cast("double"))).alias(f"len_{k}"))
-    dots = near.join(c2.select(F.col("token").alias("key"), "side", "neighbour", F.col("n").alias("a")), "key").join(c1.select(F.col("token").alias("value"), "side", "neighbour", F.col("n").alias("b")), ["value", "side", "neighbour"]).groupBy("key", "value").agg(F.sum(F.col("a") * F.col("b").cast("double")).alias("dot"))
-    rows = dots.join(length(c2, "key"), "key").join(length(c1, "value"), "value").withColumn("cos", F.round(F.col("dot") / (F.col("len_key") * F.col("len_value")), 6))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cos"), F.desc("value")))
-    return rows.filter(F.col("cos") >= cosine).withColumn("rn", rank).filter("rn = 1").select("key", "value", "cos")
+    both = written(_both(n1, n2), "use")
+    short = both.filter((F.col("pn") > MIN_SHARE) & (F.col("pn") > OVER_NOISY * F.col("pc"))).select("country", F.col("token").alias("key"))
+    long = both.filter((F.col("pc") > MIN_SHARE) & (F.col("pc") > OVER_CLEAN * F.col("pn"))).select("country", F.col("token").alias("value"))
+    # A token with a share of MIN_SHARE is one of 5,000 of a country at most, so that these joins have a bound.
+    near = short.withColumn("f", F.substring("key", 1, 1)).join(long.withColumn("f", F.substring("value", 1, 1)), ["country", "f"]).filter(is_subsequence(F.col("key"), F.col("value"))).drop("f")
+    length = lambda c, k: c.groupBy("country", F.col("token").alias(k)).agg(F.sqrt(F.sum(F.col("n") * F.col("n").cast("double"))).alias(f"len_{k}"))
+    key = c2.select("country", F.col("token").alias("key"), "side", "neighbour", F.col("n").alias("a"))
+    value = c1.select("country", F.col("token").alias("value"), "side", "neighbour", F.col("n").alias("b"))
+    dots = near.join(key, ["country", "key"]).join(value, ["country", "value", "side", "neighbour"]).groupBy("country", "key", "value").agg(F.sum(F.col("a") * F.col("b").cast("double")).alias("dot"))
+    rows = dots.join(length(c2, "key"), ["country", "key"]).join(length(c1, "value"), ["country", "value"]).withColumn("cos", F.round(F.col("dot") / (F.col("len_key") * F.col("len_value")), 6))
+    rank = F.row_number().over(Window.partitionBy("country", "key").orderBy(F.desc("cos"), F.desc("value")))
+    return rows.withColumn("rn", rank).filter(F.col("rn") == 1).filter(F.col("cos") >= CONTEXT_COSINE).select("country", "key", "value", "cos")
+
+
+def label_free_generic(clean: DataFrame, noisy: DataFrame, variants: DataFrame) -> DataFrame:
+    """country, token, gap: tokens whose shares on the two sides differ by GENERIC_RATIO and more, neither key nor value of a variant; the GENERIC widest gaps."""
+    both = _both(_usage(clean)[0], _usage(noisy)[0])
+    most, least = F.greatest("pc", "pn"), F.least("pc", "pn")
+    mapped = variants.select("country", F.explode(F.array("key", "value")).alias("token")).distinct()
+    rows = both.filter((most > MIN_SHARE) & (most > GENERIC_RATIO * least)).join(mapped, ["country", "token"], "left_anti").withColumn("gap", F.round(F.abs(F.col("pc") - F.col("pn")), 9))
+    rank = F.row_number().over(Window.partitionBy("country").orderBy(F.desc("gap"), "token"))
+    return rows.withColumn("rn", rank).filter(F.col("rn") <= GENERIC).select("country", "token", "gap")
+
+
+def label_free_prefix(clean: DataFrame, noisy: DataFrame) -> DataFrame:
+    """country, token, n: junk_prefix of unpaired texts; clean counts are of texts, scaled to the noisy side's number of them."""
+    t = F.filter(F.split("text", " "), lambda x: x != "")
+    n = clean.groupBy("country").agg(F.count(F.lit(1)).alias("nc")).join(noisy.groupBy("country").agg(F.count(F.lit(1)).alias("nn")), "country")
+    lead = noisy.select("country", F.get(t, F.lit(0)).alias("token")).filter("token is not null").groupBy("country", "token").agg(F.count(F.lit(1)).alias("n"))
+    said = clean.select("country", F.explode(F.array_distinct(t)).alias("token")).groupBy("country", "token").agg(F.count(F.lit(1)).alias("m")).join(F.broadcast(n), "country")
+    field = lambda r: r.withColumn("field", F.lit(""))
+    return junk_prefix(field(lead), field(said.select("country", "token", (F.col("m") * F.col("nn") / F.col("nc")).alias("n")))).drop("field")
+
+
+def induce(clean: DataFrame, noisy: DataFrame, field: str, prefixes: bool = True) -> DataFrame:
+    """The lexicon of countries without labels, of texts (country, doc, text) of one field."""
+    clean, noisy = written(clean, "clean"), written(noisy, "noisy")
+    variants = written(label_free_variants(clean, noisy), "variants")
+    row = lambda rows, kind, key, value, weight: rows.select("country", F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.col(key).alias("key"), value.alias("value"), weight.cast("double").alias("weight"))
+    out = row(variants, "variant", "key", F.col("value"), F.col("cos")).unionByName(row(label_free_generic(clean, noisy, variants), "generic", "token", F.lit(""), F.col("gap")))
+    return out.unionByName(row(label_free_prefix(clean, noisy), "prefix", "token", F.lit(""), F.col("n"))) if prefixes else out
 
 
 def unlabelled(countries: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -34,12 +34,6 @@ def override(p: Column, stacked: Column, country: Column, chosen: list[str], shi
     return out
 
 
-def halves(id_col: Column) -> Column:
-    from .models import entity_fold
-
-    return entity_fold(id_col, 2)
-
-
 def unlabelled_countries(test: DataFrame, train: DataFrame) -> DataFrame:
     return test.select("country").subtract(train.select("country"))
 

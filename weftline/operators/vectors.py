@@ -12,7 +12,9 @@ from ..sources.scratch import written
 
 
 def analyze(col: Column, analyzer: str, low: int = 3, high: int = 4) -> Column:
-    """Terms of a text.  Words are whole white-space tokens, single characters too."""
+    """Terms of a text.  Words are whole white-space tokens, single characters too; long words are runs of two and more letters or digits."""
+    if analyzer == "long_word":
+        return F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     if analyzer == "word":
         return F.filter(F.split(F.coalesce(col, F.lit("")), r"\s+"), lambda t: t != "")
     return char_grams(F.coalesce(col, F.lit("")), low, high, analyzer == "char_wb")

@@ -41,6 +41,9 @@ class LinkageConfig:
     stage2_m: int = 12
     links_top: int = 3
     folds: int = 10
+    rounds: int = 40
+    prune_rounds: int = 20
+    depth: int = 5
     miss_priors: tuple[float, ...] = (0.0, 0.1, 0.2, 0.35, 0.5)
     penalties: tuple[float, ...] = (0.0, 0.002, 0.005)
     self_p: float = 0.99

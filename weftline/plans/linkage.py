@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import canon, decide, merge, retrieve, vectors
+from ..operators import canon, decide, evaluate, features, merge, models, prune, retrieve, vectors
 from ..sources.scratch import written
 from .config import Channel, LinkageConfig
 
@@ -95,3 +97,122 @@ def link(s1: DataFrame, others: DataFrame, config: LinkageConfig | None = None,
     pairs = merge.prune_top(candidates(index, query, config), "d", "q", "block_score", config.stage2_m, config.min_score)
     scored = pairs.select(F.col("d").alias("s1"), F.col("q").alias("cand"), F.least(F.lit(1.0), F.col("block_score") / 2).alias("p"))
     return decide.to_submission(decide.choose(scored), s1.select(F.col("entity_id").alias("s1")))
+
+
+@dataclass
+class Matcher:
+    """What train learns and predict needs."""
+
+    stage1: object
+    stage2: object
+    first: object
+    second: object
+    partner: object | None  # the second learner, where blending with it is better
+    calibrator: object
+    columns: list[str]
+    columns2: list[str]
+    rich: list[str]
+    miss: float
+    penalty: float
+    f05: float
+
+
+def pruned(pairs: DataFrame, index: DataFrame, query: DataFrame, matcher: Matcher | None, config: LinkageConfig, truth: DataFrame | None = None, holdout: str | None = None) -> tuple[DataFrame, object, object, list[str]]:
+    """(candidate pairs s1, cand, country and BLOCK_COLUMNS after both cuts, the models of the two stages, the second's features).
+
+    Models are matcher's, or trained on truth.
+    """
+    rows = merge.pruner_features(pairs).withColumnsRenamed({"d": "s1", "q": "cand"})
+    rows = rows.join(index.select(F.col("entity_id").alias("s1"), "country"), "s1")
+    rows = written(features.label(rows, truth) if truth is not None else rows, "stage1_rows")
+    names = list(merge.PRUNER_FEATURES)
+    first = matcher.stage1 if matcher else prune.train(rows, names, holdout, config.prune_rounds, config.depth)
+    rows = written(prune.cut(models.predict(first, rows, names, "stage1_p"), config.stage1_p, config.stage1_m, "stage1_p"), "stage1")
+    rows, rich = features.rich_features(rows.withColumnsRenamed({"s1": "d", "cand": "q"}), index, query)
+    rows = written(rows.withColumnsRenamed({"d": "s1", "q": "cand"}), "stage2_rows")
+    names = [*names, "stage1_p", *rich]
+    second = matcher.stage2 if matcher else prune.train(rows, names, holdout, config.prune_rounds, config.depth)
+    rows = prune.cut(models.predict(second, rows, names, "prune_p"), config.stage2_p, config.stage2_m, "prune_p")
+    return written(rows.select("s1", "cand", *features.BLOCK_COLUMNS), "stage2"), first, second, rich
+
+
+def featured(pairs: DataFrame, index: DataFrame, query: DataFrame, config: LinkageConfig) -> DataFrame:
+    rows = features.build(pairs.withColumnsRenamed({"s1": "d", "cand": "q"}), index, query, config.fast)
+    return written(rows.withColumnsRenamed({"d": "s1", "q": "cand"}), "features")
+
+
+def with_context(rows: DataFrame) -> DataFrame:
+    return decide.add_context(rows, F.col("hn_eq") == 1)
+
+
+def chances(matcher: Matcher, rows: DataFrame) -> DataFrame:
+    """Features with p, the calibrated chance, and what it came from."""
+    seen = with_context(models.predict(matcher.first, rows, matcher.columns))
+    got = models.predict(matcher.second, seen, matcher.columns2, "p2")
+    if matcher.partner is not None:
+        got = models.predict(matcher.partner, got, matcher.columns2, "p3").withColumn("p2", models.blend(F.col("p2"), F.col("p3"))).drop("p3")
+    return matcher.calibrator.transform(got).drop("p").withColumnRenamed("calibrated", "p").withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "p")))
+
+
+def train(s1: DataFrame, others: DataFrame, truth: DataFrame, config: LinkageConfig | None = None, maps: DataFrame | None = None, holdout: str | None = None, dense: DataFrame | None = None, links: DataFrame | None = None, embeddings: DataFrame | None = None) -> tuple[Matcher, DataFrame]:
+    """(matcher, scored pairs) from raw records and true pairs (s1, cand).  Entities of fold 0 are held out: they stop and calibrate the models and
+    choose the decision's parameters.  Rows of the country holdout teach nothing.
+    """
+    config = config or LinkageConfig()
+    index, query = canonical_sides(s1, others, maps)
+    pairs = candidates(index, query, config, dense, links, embeddings)
+    pairs, stage1, stage2, rich = pruned(pairs, index, query, None, config, truth, holdout)
+    rows = written(features.label(featured(pairs, index, query, config), truth).withColumn("validation", models.entity_fold(F.col("s1"), config.folds) == 0), "labelled")
+    learn = rows if holdout is None else rows.filter(F.col("country") != holdout)
+    columns = features.feature_names(config.fast)
+    first, second, more, scored = models.two_pass(learn, columns, with_context, config.rounds, config.depth)
+    scored = written(scored, "scored")
+    teach, held = scored.filter("not validation"), written(scored.filter("validation"), "held_out")
+    partner = models.train_linear(teach, more)
+    both = models.predict(partner, held, more, "p3").withColumn("mixed", models.blend(F.col("p2"), F.col("p3")))
+    y = F.col("label")
+    alone, mixed = both.agg(evaluate.log_loss(F.col("p2"), y), evaluate.log_loss(F.col("mixed"), y)).first()
+    partner = partner if mixed is not None and mixed < alone else None
+    seen = held if partner is None else both.withColumn("p2", F.col("mixed"))
+    calibrator = models.fit_calibrator(seen, "p2")
+    matcher = Matcher(stage1, stage2, first, second, partner, calibrator, columns, more, rich, 0.0, 0.0, 0.0)
+    done = written(chances(matcher, rows), "chances")
+    sets = truth.groupBy("s1").agg(F.collect_set("cand").alias("matched"))
+    ids = s1.select(F.col("entity_id").alias("s1"), "country").filter(models.entity_fold(F.col("s1"), config.folds) == 0)
+    ids = ids if holdout is None else ids.filter(F.col("country") != holdout)
+    grid = decide.grid_search(done.filter("validation").select("s1", "cand", "p"), sets, ids.select("s1"), config.miss_priors, config.penalties)
+    best = grid.orderBy(F.desc("f05"), "miss", "penalty").first()
+    matcher.miss, matcher.penalty, matcher.f05 = best["miss"], best["penalty"], best["f05"]
+    return matcher, done
+
+
+def matched(matcher: Matcher, scored: DataFrame) -> DataFrame:
+    """s1, cand, p, place: the accepted ones of scored pairs."""
+    return decide.choose(scored.select("s1", "cand", "p"), matcher.miss, matcher.penalty)
+
+
+def predict(matcher: Matcher, s1: DataFrame, others: DataFrame, config: LinkageConfig | None = None, maps: DataFrame | None = None, dense: DataFrame | None = None, links: DataFrame | None = None, embeddings: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(match sets, candidate lists, scored pairs) of raw records; the first two have a row s1, matched per S1 record."""
+    config = config or LinkageConfig()
+    index, query = canonical_sides(s1, others, maps)
+    pairs, *_ = pruned(candidates(index, query, config, dense, links, embeddings), index, query, matcher, config)
+    scored = written(chances(matcher, featured(pairs, index, query, config)), "chances")
+    ids = s1.select(F.col("entity_id").alias("s1"))
+    place = F.row_number().over(decide.by_s1())
+    lists = decide.to_submission(scored.select("s1", "cand", place.alias("place")), ids)
+    return decide.to_submission(matched(matcher, scored), ids), lists, scored
+
+
+def score_sets(submission: DataFrame, truth: DataFrame) -> DataFrame:
+    """s1, pred, truth (arrays) of all records of a submission (s1, matched), those without candidates too."""
+    true = truth.groupBy("s1").agg(F.collect_set("cand").alias("truth"))
+    ids = F.filter(F.split("matched", ","), lambda x: x != "")
+    return submission.select("s1", ids.alias("pred")).join(true, "s1", "left").withColumn("truth", F.coalesce("truth", F.array().cast("array<string>")))
+
+
+def unseen_country(s1: DataFrame, others: DataFrame, truth: DataFrame, country: str, config: LinkageConfig | None = None) -> DataFrame:
+    """f05, n over all S1 records of a country that taught nothing."""
+    matcher, scored = train(s1, others, truth, config, holdout=country)
+    ids = s1.filter(F.col("country") == country).select(F.col("entity_id").alias("s1"))
+    sets = decide.to_submission(matched(matcher, scored.filter(F.col("country") == country)), ids)
+    return evaluate.macro_f05(score_sets(sets, truth))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text
-from ..operators import adaptive, canon, decide, evaluate, features, lexicon, merge, models, retrieve, stack, validate, vectors
+from ..operators import adaptive, canon, decide, evaluate, features, lexicon, merge, models, prune, retrieve, stack, validate, vectors
 from ..sources import tables
 from ..sources.scratch import written
 from . import linkage
@@ -399,6 +399,24 @@ def dense_topk(spark, sf):
     return retrieve.knn(rows.filter("id % 100 = 0"), rows, 10, exclude_same=True)
 
 
+@query(f"""WITH s AS (SELECT a.vec_id AS q, b.vec_id AS d, round({_DOT}, 6) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+k AS (SELECT q, d FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS rn FROM s) WHERE rn <= 10), t AS (SELECT a.vec_id AS q, b.vec_id AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 99 WHERE a.vec_id % 100 = 0)
+SELECT (SELECT count(*) FROM t SEMI JOIN k USING (q, d)) AS found, count(*) AS true_pairs, round((SELECT count(*) FROM t SEMI JOIN k USING (q, d)) / count(*), 6) AS recall FROM t""")
+def dense_recall(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    found = retrieve.knn(rows.filter("id % 100 = 0"), rows, 10, exclude_same=True)
+    a, b = rows.filter("id % 100 = 0").select(F.col("id").alias("q"), "label"), rows.select(F.col("id").alias("d"), "label")
+    return retrieve.recall_at(found, a.join(b, "label").filter("d between q + 1 and q + 99").select("q", "d"))
+
+
+@query(f"""WITH o AS (SELECT vec_id AS id, embedding, vec_id % 3 AS src, label FROM embeddings WHERE vec_id % 20 < 3),
+s AS (SELECT a.id AS a, b.id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM o a JOIN o b ON a.label = b.label AND ((a.src = 1 AND b.src = 2) OR (a.src = 2 AND b.src = 1)))
+SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM s) WHERE rn <= 3""")
+def dense_twins(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 20 < 3").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    return retrieve.twins(rows.filter("id % 3 = 1"), rows.filter("id % 3 = 2"), 3, by="label")
+
+
 @query(f"SELECT a.vec_id AS q, b.vec_id AS d, round({_DOT}, 6) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def pair_dot(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
@@ -451,6 +469,74 @@ def house_number_features(spark, sf):
     return rows.select("q", "d", r6(F.col("hn_ratio"), "hn_ratio"), *[F.col(f"hn_{c}").cast("double").alias(f"hn_{c}") for c in ("delta", "abs", "eq", "small_pos", "len_a", "lev")])
 
 
+def _view_sql(tag: str, column: str, terms: str) -> str:
+    """CTEs {tag}a and {tag}b (id, term, w): the unpruned unit vectors of index and query, of terms that the country's index knows."""
+    tf = lambda side: f"SELECT entity_id AS id, country, term, count(*) AS tf FROM (SELECT entity_id, country, unnest({terms.format(c=column)}) AS term FROM {side}) GROUP BY 1, 2, 3"
+    unit = lambda side: f"SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT x.id, x.term, idf * (1 + ln(tf)) AS w FROM {tag}{side}0 x JOIN {tag}f f ON x.country = f.country AND x.term = f.term)"
+    return f"""{tag}a0 AS ({tf('i')}), {tag}b0 AS ({tf('q')}),
+{tag}f AS (SELECT country, term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM {tag}a0 JOIN (SELECT country, count(*)::DOUBLE AS n FROM i GROUP BY 1) USING (country) GROUP BY 1, 2),
+{tag}a AS ({unit('a')}), {tag}b AS ({unit('b')}),
+{tag}s AS (SELECT ex.q, ex.d, sum(a.w * b.w) AS cos, count(*) AS n FROM ex JOIN {tag}a a ON a.id = ex.d JOIN {tag}b b ON b.id = ex.q AND b.term = a.term GROUP BY 1, 2),
+{tag}n AS (SELECT id, count(*) AS n FROM {tag}a GROUP BY 1 UNION ALL SELECT id, count(*) FROM {tag}b GROUP BY 1)"""
+
+
+_LONG = "regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+_CHARS = "list_concat(CASE WHEN len({c}) < 3 THEN [] ELSE list_transform(range(1, len({c}) - 1), lambda i: substr({c}, i, 3)) END, CASE WHEN len({c}) < 4 THEN [] ELSE list_transform(range(1, len({c}) - 2), lambda i: substr({c}, i, 4)) END)"
+
+
+def _counted_sql(tag: str, view: str) -> str:
+    x, y, n = f"coalesce({tag}x.n, 0)", f"coalesce({tag}y.n, 0)", f"coalesce({tag}s.n, 0)"
+    return f"""round(CASE WHEN {x} + {y} - {n} = 0 THEN 0 ELSE {n} / ({x} + {y} - {n}) END, 6) AS jac_{view}, round(CASE WHEN least({x}, {y}) = 0 THEN 0 ELSE {n} / least({x}, {y}) END, 6) AS cont_{view},
+CAST({x} AS INT) AS n_{view}_a, CAST({y} AS INT) AS n_{view}_b"""
+
+
+@query(f"""{_E}, {_view_sql('u', 'name_c', _LONG)}, {_view_sql('v', 'addr_c', _LONG)}, {_view_sql('z', 'name_sq', _CHARS)}
+SELECT ex.q, ex.d, round(coalesce(us.cos, 0), 6) AS cos_name_tok, round(coalesce(vs.cos, 0), 6) AS cos_addr_tok, round(coalesce(zs.cos, 0), 6) AS cos_name_ch, {_counted_sql('u', 'name_tok')}, {_counted_sql('v', 'addr_tok')}
+FROM ex LEFT JOIN us USING (q, d) LEFT JOIN vs USING (q, d) LEFT JOIN zs USING (q, d) LEFT JOIN un ux ON ux.id = ex.d LEFT JOIN un uy ON uy.id = ex.q LEFT JOIN vn vx ON vx.id = ex.d LEFT JOIN vn vy ON vy.id = ex.q""")
+def view_features(spark, sf):
+    index, other = _sides(spark, sf)
+    rows = features.view_features(_exact(index, other), index, other)
+    return rows.select("q", "d", "cos_name_tok", "cos_addr_tok", "cos_name_ch", *[c for v in ("name_tok", "addr_tok") for c in (r6(F.col(f"jac_{v}"), f"jac_{v}"), r6(F.col(f"cont_{v}"), f"cont_{v}"), f"n_{v}_a", f"n_{v}_b")])
+
+
+def _rich_sql(f: str) -> str:
+    t = "list_distinct(list_filter(string_split({x}, ' '), lambda t: t <> ''))"
+    return f"""{f}t AS (SELECT entity_id AS id, country, {t.format(x=f)} AS t FROM c), {f}f AS (SELECT country, term, ln((any_value(n) + 1) / (count(*) + 1)) AS w FROM (SELECT country, unnest(t) AS term FROM {f}t) JOIN (SELECT country, count(*)::DOUBLE AS n FROM c GROUP BY 1) USING (country) GROUP BY 1, 2),
+{f}x AS (SELECT ex.q, ex.d, a.country, len(list_intersect(a.t, b.t)) AS n, len(a.t) AS na, len(b.t) AS nb, list_intersect(a.t, b.t) AS sh FROM ex JOIN {f}t a ON a.id = ex.d JOIN {f}t b ON b.id = ex.q),
+{f}m AS (SELECT q, d, max(w) AS w FROM (SELECT q, d, country, unnest(sh) AS term FROM {f}x) JOIN {f}f USING (country, term) GROUP BY 1, 2),
+{f}r AS (SELECT q, d, CAST(n AS INT) AS {f}_inter, round(CASE WHEN na + nb - n = 0 THEN 0 ELSE n / (na + nb - n) END, 6) AS {f}_jac, round(CASE WHEN least(na, nb) = 0 THEN 0 ELSE n / least(na, nb) END, 6) AS {f}_cont, round(coalesce(w, 0), 6) AS {f}_maxidf FROM {f}x LEFT JOIN {f}m USING (q, d))"""
+
+
+@query(f"{_E}, {', '.join(_rich_sql(f) for f in features.RICH_FIELDS)} SELECT * FROM name_cr JOIN addr_cr USING (q, d) JOIN addr_corer USING (q, d) JOIN numsr USING (q, d)")
+def rich_features(spark, sf):
+    index, other = _sides(spark, sf)
+    rows, names = features.rich_features(_exact(index, other), index, other)
+    return rows.select("q", "d", *[r6(F.col(c), c) if not c.endswith("_inter") else c for c in names if not c.startswith("fz_")])
+
+
+def _stat_sql(side: str, key: str, other: str) -> str:
+    w = f"PARTITION BY {key} ORDER BY block_score DESC, {other}"
+    return f"""row_number() OVER ({w}) - 1 AS {side}_rank, count(*) OVER (PARTITION BY {key}) AS {side}_size, round(block_score - max(block_score) OVER (PARTITION BY {key}), 6) AS {side}_gap,
+round(max(block_score) OVER (PARTITION BY {key}) - coalesce(nth_value(block_score, 2) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0), 6) AS {side}_margin"""
+
+
+@query(f"""{_M}, k AS (SELECT q, d, name_cos, addr_cos, exact AS exact_hit, round(name_cos + addr_cos + 0.2 * exact, 6) AS block_score, name AS ch_name_sq, addr AS ch_addr, exact AS ch_exact FROM r)
+SELECT *, {_stat_sql('s1', 'd', 'q')}, {_stat_sql('cand', 'q', 'd')} FROM k""")
+def pruner_features(spark, sf):
+    zero = {c: F.lit(0.0) for c in ("dense_cos", *(f"ch_{c}" for c in ("name_tok", "addr_core", "joint", "dense", "link")))}
+    score = F.round(merge.combine(F.col("name_cos"), F.col("addr_cos"), F.col("exact")), 6)
+    rows = _rescored(spark, sf).withColumns({"exact_hit": F.col("exact"), "block_score": score, "ch_name_sq": F.col("name"), "ch_addr": F.col("addr"), "ch_exact": F.col("exact"), **zero})
+    got = merge.pruner_features(rows).drop(*zero)
+    return got.withColumns({f"{p}_{k}": F.round(f"{p}_{k}", 6) for p in ("s1", "cand") for k in ("gap", "margin")})
+
+
+@query(f"""WITH {PAIRS}, h AS (SELECT s1, cand, p, eq, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) - 1 AS rk FROM pr WHERE CAST(CAST('0x' || substr(sha256(CAST(s1 AS VARCHAR)), 1, 8) AS BIGINT) % 10 AS INT) = 0),
+c AS (SELECT unnest([0.1, 0.3, 0.6]::DOUBLE[]) AS cut) SELECT cut, count(*) AS pairs, count(*) FILTER (eq) AS found, round(count(*) / (SELECT count(DISTINCT s1) FROM h), 6) AS cands_per_s1, round(count(*) FILTER (eq) / (SELECT count(*) FROM h WHERE eq), 6) AS recall FROM h JOIN c ON p >= cut WHERE rk < 4 GROUP BY 1""")
+def prune_size_recall(spark, sf):
+    rows = pairs(spark, sf)
+    return prune.size_recall(rows, rows.filter("eq"), "p", 4, (0.1, 0.3, 0.6))
+
+
 @query(f"{_C} SELECT entity_id, count(*) OVER (PARTITION BY country, name_c) AS n FROM i")
 def name_multiplicity(spark, sf):
     return features.multiplicity(canon_of(spark, sf, "s1"), "name_c", "n").select("entity_id", "n")
@@ -678,22 +764,47 @@ def junk_prefix(spark, sf):
     return lexicon.junk_prefix(c["lead"], c["clean"]).select("country", "token", "n")
 
 
-_USE = """{t}r AS (SELECT entity_id AS doc, generate_subscripts(w, 1) AS pos, unnest(w) AS token FROM (SELECT entity_id, list_filter(string_split(addr_b, ' '), lambda x: x <> '') AS w FROM b WHERE entity_id LIKE '{like}')),
-{t}n AS (SELECT token, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM {t}r GROUP BY 1),
-{t}l AS (SELECT token, lag(token) OVER w AS l, lead(token) OVER w AS r FROM {t}r WINDOW w AS (PARTITION BY doc ORDER BY pos)),
-{t}c AS (SELECT token, side, nb, count(*)::DOUBLE AS n FROM (SELECT token, 'l' AS side, l AS nb FROM {t}l UNION ALL SELECT token, 'r', r FROM {t}l) WHERE nb IS NOT NULL GROUP BY ALL)"""
+_USE = """{t}r AS (SELECT entity_id AS doc, country, generate_subscripts(w, 1) AS pos, unnest(w) AS token FROM (SELECT entity_id, country, list_filter(string_split(addr_b, ' '), lambda x: x <> '') AS w FROM b WHERE {where})),
+{t}n AS (SELECT country, token, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY country) AS p FROM {t}r GROUP BY 1, 2),
+{t}l AS (SELECT country, token, coalesce(lag(token) OVER w, '^') AS l, coalesce(lead(token) OVER w, '$') AS r FROM {t}r WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+{t}c AS (SELECT country, token, side, nb, count(*)::DOUBLE AS n FROM (SELECT country, token, 'l' AS side, l AS nb FROM {t}l UNION ALL SELECT country, token, 'r', r FROM {t}l) GROUP BY ALL),
+{t}h AS (SELECT country, token, sqrt(sum(n * n)) AS h FROM {t}c GROUP BY 1, 2)"""
+
+_LF = f"""{_B}, {_USE.format(t='c', where="entity_id LIKE 'S1-%'")}, {_USE.format(t='n', where="entity_id NOT LIKE 'S1-%'")},
+bo AS (SELECT country, token, coalesce(nn.n, 0) AS nn, coalesce(nn.p, 0) AS pn, coalesce(cn.n, 0) AS nc, coalesce(cn.p, 0) AS pc FROM nn FULL JOIN cn USING (country, token) WHERE NOT regexp_matches(token, '^[0-9]+$')),
+pp AS (SELECT k.country, k.token AS key, v.token AS value FROM bo k JOIN bo v ON k.country = v.country AND substr(k.token, 1, 1) = substr(v.token, 1, 1) AND len(k.token) < len(v.token) AND regexp_matches(v.token, array_to_string(string_split(k.token, ''), '.*'))
+  WHERE k.pn > 2e-4 AND k.pn > 3 * k.pc AND v.pc > 2e-4 AND v.pc > 1.15 * v.pn),
+cs AS (SELECT pp.country, key, value, round(sum(a.n * b.n) / (any_value(x.h) * any_value(y.h)), 6) AS cos FROM pp JOIN nc a ON a.country = pp.country AND a.token = key JOIN cc b ON b.country = pp.country AND b.token = value AND a.side = b.side AND a.nb = b.nb
+  JOIN nh x ON x.country = pp.country AND x.token = key JOIN ch y ON y.country = pp.country AND y.token = value GROUP BY 1, 2, 3),
+vr AS (SELECT country, key, value, cos FROM (SELECT *, row_number() OVER (PARTITION BY country, key ORDER BY cos DESC, value DESC) AS rn FROM cs) WHERE rn = 1 AND cos >= 0.9)"""
+
 
+def _unpaired(spark, sf) -> tuple[DataFrame, DataFrame]:
+    own = lambda n: written(canon.basic(view(spark, sf, n)).select("country", F.col("entity_id").alias("doc"), F.col("addr_b").alias("text")), n)
+    return own("s1"), own("others")
 
-@query(f"""{_B}, {_USE.format(t='c', like='S1-%')}, {_USE.format(t='n', like='S2-%')},
-bo AS (SELECT token, coalesce(nn.n, 0) AS nn, coalesce(nn.p, 0) AS pn, coalesce(cn.n, 0) AS nc, coalesce(cn.p, 0) AS pc FROM nn FULL JOIN cn USING (token)),
-pp AS (SELECT k.token AS key, v.token AS value FROM bo k JOIN bo v ON substr(k.token, 1, 1) = substr(v.token, 1, 1) AND len(k.token) < len(v.token) AND regexp_matches(v.token, array_to_string(string_split(k.token, ''), '.*'))
-  WHERE k.nn >= 5 AND k.pn > 3 * k.pc AND v.nc >= 5 AND v.pc > 1.15 * v.pn),
-cs AS (SELECT key, value, round(sum(a.n * b.n) / ((SELECT sqrt(sum(n * n)) FROM nc x WHERE x.token = key) * (SELECT sqrt(sum(n * n)) FROM cc x WHERE x.token = value)), 6) AS cos
-  FROM pp JOIN nc a ON a.token = key JOIN cc b ON b.token = value AND a.side = b.side AND a.nb = b.nb GROUP BY key, value)
-SELECT key, value, cos FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cos DESC, value DESC) AS rn FROM cs WHERE cos >= 0.9) WHERE rn = 1""")
+
+@query(f"{_LF} SELECT * FROM vr")
 def label_free_variants(spark, sf):
-    own = lambda n: canon.basic(view(spark, sf, n)).select(F.col("entity_id").alias("doc"), F.col("addr_b").alias("text"))
-    return lexicon.label_free_variants(own("s1"), own("s2"))
+    return lexicon.label_free_variants(*_unpaired(spark, sf))
+
+
+@query(f"""{_LF}, mp AS (SELECT country, key AS token FROM vr UNION SELECT country, value FROM vr),
+ge AS (SELECT country, token, round(abs(pc - pn), 9) AS gap FROM bo WHERE greatest(pc, pn) > 2e-4 AND greatest(pc, pn) > 2 * least(pc, pn) AND (country, token) NOT IN (SELECT (country, token) FROM mp))
+SELECT country, token, round(gap, 6) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY gap DESC, token) AS rn FROM ge) WHERE rn <= 600""")
+def label_free_generic(spark, sf):
+    clean, noisy = _unpaired(spark, sf)
+    return lexicon.label_free_generic(clean, noisy, lexicon.label_free_variants(clean, noisy)).select("country", "token", r6(F.col("gap"), "gap"))
+
+
+@query(f"""{_B}, nd AS (SELECT country, string_split(name_b, ' ') AS w FROM b WHERE entity_id NOT LIKE 'S1-%'), cd AS (SELECT country, string_split(addr_b, ' ') AS w FROM b WHERE entity_id LIKE 'S1-%'),
+sc AS (SELECT country, count(*) AS nn, (SELECT count(*) FROM cd WHERE cd.country = nd.country) AS nc FROM nd GROUP BY 1), ld AS (SELECT country, w[1] AS token, count(*) AS n FROM nd WHERE w[1] <> '' GROUP BY 1, 2),
+sd AS (SELECT country, token, count(*) AS m FROM (SELECT country, unnest(list_distinct(w)) AS token FROM cd) GROUP BY 1, 2)
+SELECT ld.country, ld.token, ld.n FROM ld JOIN sc USING (country) LEFT JOIN sd USING (country, token) WHERE n >= 25 AND coalesce(m, 0) * nn / nc < 0.1 * n""")
+def label_free_prefix(spark, sf):
+    b = canon.basic(view(spark, sf, "recs"))
+    side = lambda like, c: b.filter(like).select("country", F.col("entity_id").alias("doc"), F.col(c).alias("text"))
+    return lexicon.label_free_prefix(side(F.col("entity_id").like("S1-%"), "addr_b"), side(~F.col("entity_id").like("S1-%"), "name_b"))
 
 
 @query(f"{_V} SELECT DISTINCT country FROM recs WHERE country NOT IN ('C0', 'C1')")
@@ -778,6 +889,17 @@ def linkage_end_to_end(spark, sf):
     return linkage.link(view(spark, sf, "s1"), view(spark, sf, "others"))
 
 
+@query()
+def linkage_trained(spark, sf):
+    """The whole run with training: match sets of all S1 records, and F0.5 of each; entities of fold 0 taught nothing."""
+    s1, others, truth = view(spark, sf, "s1"), view(spark, sf, "others"), tables.truth_pairs(view(spark, sf, "truth"))
+    matcher, scored = linkage.train(s1, others, truth, LinkageConfig(rounds=16, prune_rounds=10, depth=4))
+    sets = decide.to_submission(linkage.matched(matcher, scored), s1.select(F.col("entity_id").alias("s1")))
+    rows = linkage.score_sets(sets, truth)
+    held = models.entity_fold(F.col("s1")) == 0
+    return rows.select("s1", F.array_join("pred", ",").alias("matched"), held.alias("held_out"), r6(evaluate.f05(F.col("pred"), F.col("truth")), "f05"))
+
+
 @query()
 def decision_grid(spark, sf):
     index, other = _sides(spark, sf)
