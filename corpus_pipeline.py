@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontaminate, exact_dedup, packing, quality, registry, simhash
-from weftline.llm._work import shared_dir
+from weftline.llm._work import Work, finished, shared_dir
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +46,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written to the shared folder and read as the next one's input."""
-    root = f"{shared_dir(spark)}/weftline/pipeline-{uuid.uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """All stages over documents, each result written to the shared folder and read as the next one's input.
+
+    Without a name the stages' tables are scratch: each goes when the next one is written, and the last when the process ends.  With one
+    they stay, and a run of that name goes on after the last stage that an earlier one has finished.
+    """
+    work = Work(spark, "pipeline") if name is None else None
+    root = work.root if work else f"{shared_dir(spark)}/weftline/pipeline-{name}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}-{name}")
-        docs = spark.read.parquet(f"{root}/{k}-{name}")
+    for k, (stage, make) in enumerate(STAGES):
+        path = f"{root}/{k}-{stage}"
+        if work:
+            work.save(make(spark, docs, sf_dir), f"{k}-{stage}")
+            if k:
+                work.drop(f"{k - 1}-{STAGES[k - 1][0]}")
+        elif not finished(spark, path):
+            make(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return docs

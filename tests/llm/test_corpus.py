@@ -627,5 +627,39 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in cp.packed(spark, kept, SF).collect()} == {r[0] for r in want} - bad
 
 
+def test_pipeline_run(spark, tmp_path):
+    """All stages over rows with nulls, repeats, ties, long and empty texts and clashing columns; an empty table; and a run that goes on."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ("quality_score", "sha", "id", "row", "part", "rid", "keep", "wid", "component_id")
+    rows = [tuple(r) for r in docs.limit(120).collect()]
+    odd = [*rows, *rows[:9], (None, None, None, None, None), (None, "null id", "en", None, 7), (9_000_001, "", "en", "x", 0), (9_000_002, LONG, "en", "x", 1)]
+    more = ", ".join(f"{n} string" for n in names)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for folder, data in (("odd", odd), ("none", [])):
+        spark.createDataFrame([(*r, *["v"] * len(names)) for r in data], f"{schema}, {more}").write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        for name in ("labels", "benchmark"):
+            table_ = spark.read.parquet(f"{SF}/{name}.parquet")
+            (table_ if data else table_.limit(0)).write.parquet(f"{tmp_path}/{folder}/{name}.parquet")
+    got = cp.run(spark, f"{tmp_path}/odd")
+    assert got.count() > 50 and {"doc_id", "sequence_id", "offset"} <= set(got.columns)
+    assert got.groupBy("doc_id", "piece").count().filter("count > 1").isEmpty()
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
+    kept = cp.good_quality(spark, spark.read.parquet(f"{tmp_path}/odd/documents.parquet"), f"{tmp_path}/odd")
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", *names] and kept.filter("quality_score <> 'v'").isEmpty()
+    ran = []
+    stages = [(n, lambda s, d, f, n=n, make=make: ran.append(n) or make(s, d, f)) for n, make in cp.STAGES]
+    old, cp.STAGES = cp.STAGES, [*stages[:2], ("broken", lambda s, d, f: 1 / 0)]
+    try:
+        with pytest.raises(ZeroDivisionError):
+            cp.run(spark, SF, "again")
+        cp.STAGES = stages
+        first = cp.run(spark, SF, "again").count()
+    finally:
+        cp.STAGES = old
+    assert ran == [n for n, _ in old] and first == cp.run(spark, SF, "again").count()
+
+
 def test_registered():
     assert [int(n.split("_")[0][2:]) for n in registry.QUERIES] == list(range(1, 11))

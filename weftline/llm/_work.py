@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting by which an execution removes its shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Number of salts over which a hot key is dealt.
 SALTS = 64
 
@@ -43,21 +43,19 @@ class Work:
         atexit.register(self._remove, self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        """df, written and read back.  Its shuffle files go as soon as it is written, as nothing reads them any more."""
+        path, done = f"{self.root}/{name}", self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, done)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
         self._remove(f"{self.root}/{name}")
 
-    def release(self) -> None:
-        """Lets Spark delete shuffle files that no live DataFrame needs."""
-        for _ in range(2):  # Python's hold on the JVM's objects goes first
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)  # the cleaner works beside
-
     def _remove(self, path: str) -> None:
         try:
             where = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -66,11 +64,19 @@ class Work:
             return
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether Spark has written the table in path to its end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def salt_of(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
 
 
 def ascii_lower(col: Column | str) -> Column:
     """A-Z to a-z and nothing else."""
+    col = F.col(col) if isinstance(col, str) else col
     up = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(col, up, up.lower())
+    # Of plain ASCII the built-in function does just that, and sooner.
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, up, up.lower()))

@@ -30,8 +30,6 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     pairs = verdicts.groupBy(F.col("doc_id").alias("rid"), F.col("sha").alias("rsha")).agg(F.count_if(~keep).alias("out"), F.count_if(keep).alias("stay"))
     # Rejected pairs grow with the corpus, so they are dealt at every size and never broadcast.
     pairs = work.save(pairs.filter("out > 0"), "rejected").hint("merge")
-    # What made the verdicts isn't needed any more; its shuffle files make room for this join's.
-    work.release()
     gone, some = pairs.filter("stay = 0"), pairs.filter("stay > 0")
     rows = keyed(docs)
 
