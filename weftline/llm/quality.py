@@ -70,10 +70,12 @@ def features(texts: list[bytes], skip: int = 0) -> tuple[list[np.ndarray], np.nd
     ups, digs = up[stop] - up[start], dig[stop] - dig[start]
     case = np.where(ups == 0, 0, np.where(ups == n, 2, np.where(_UPPER[raw[start]] & (ups == 1), 1, 3)))
     shape = case + 4 * (digs > 0) + 8 * np.minimum(n, 12)
-    before = [np.concatenate((np.zeros(k, np.uint64), word[:-k])) if len(word) > k else np.zeros(len(word), np.uint64) for k in (1, 2)]
+    first = np.searchsorted(start, begin)
+    place = np.arange(len(start)) - np.repeat(first[:-1], np.diff(first))
+    before = [np.where(place >= k, np.roll(word, k), np.uint64(0)) for k in (1, 2)]
     shape = shape.astype(np.uint64) + np.where(word == before[0], 128, 0).astype(np.uint64) + np.where(word == before[1], 256, 0).astype(np.uint64)
     shape = np.where(cls[start] == _SIGN, word, shape)
-    follow = np.concatenate(([np.uint64(0)], shape[:-1]))
+    follow = np.where(place >= 1, np.roll(shape, 1), np.uint64(0))
     return [_bucket(word, 0), _bucket(word + before[0] * _KIND[6], 1), _bucket(shape, 2), _bucket(shape + follow * _KIND[6], 3)], cuts
 
 
@@ -129,7 +131,6 @@ def fit(rows: list[tuple[str, int]], share: float = 0.5, epochs: int = 4, alpha:
         return Model(np.zeros(size, np.float32), 0.0)
     weigh = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum()))
     rng = np.random.default_rng(0)
-    w0 = 0.0
     for _ in range(epochs):
         for k in rng.permutation(len(xs)):
             ix, x = xs[k]
@@ -143,6 +144,7 @@ def fit(rows: list[tuple[str, int]], share: float = 0.5, epochs: int = 4, alpha:
             z0 += g - ((n0 + g * g) ** 0.5 - n0**0.5) / alpha * w0
             n0 += g * g
     w = np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2), 0.0)
+    w0 = -z0 / ((beta + n0**0.5) / alpha + l2)
     share = min(max(share, 1e-3), 1 - 1e-3)
     return Model(w.astype(np.float32), float(w0 + np.log(share / (1 - share))))
 
