@@ -505,15 +505,138 @@ def test_quality(spark, awkward, nothing):
 
 
 def test_toxicity(spark, awkward, nothing):
-    docs, labels = holdout(spark)
+    """All held-out rows: what is found, and false alarms."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     model = toxicity.train(docs, labels)
-    rows = toxicity.scored(docs, model).join(labels, "doc_id").filter((samples.remainder(5) == 0) & (F.col("quality") == 1)).select("toxicity_score", "toxic").collect()
-    assert np.mean([(r["toxicity_score"] >= 0.5) == r["toxic"] for r in rows]) > 0.9
+    rows = toxicity.scored(docs.select("doc_id", "text"), model).join(labels, "doc_id").filter(samples.remainder(5) == 0).select("toxicity_score", "toxic").collect()
+    hit = {v: np.mean([r["toxicity_score"] >= 0.5 for r in rows if r["toxic"] == v]) for v in (0, 1)}
+    assert hit[1] > 0.8 and hit[0] < 0.02
     got = toxicity.scored(awkward, model).collect()
     assert len(got) == len(AWKWARD) and all(0 <= r["toxicity_score"] <= 1 for r in got)
     assert toxicity.scored(nothing, model).count() == 0
 
 
+def plain_toxic(model, text):
+    """The average of a text's embeddings and the softmax, n-gram by n-gram."""
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in text)
+    inner = lambda c: 48 <= c <= 57 or 97 <= c <= 122 or c >= 128
+    words, word = [], []
+    for c in [*low, 0]:
+        if inner(c):
+            word.append(c)
+        elif word:
+            words.append(word)
+            word = []
+    wide, mix, step = (1 << 64) - 1, [int(x) for x in toxicity._MIX], [int(x) for x in toxicity._STEP]
+
+    def bucket(h, kind):
+        h ^= h >> 32
+        return (h * step[60 - kind] & wide) >> 64 - toxicity.BITS
+
+    found = []
+    for w in words:
+        value = [mix[0], *(mix[c] for c in w), mix[0]]
+        for n in toxicity.GRAMS:
+            found += [bucket(sum(v * step[k] for k, v in enumerate(value[at : at + n])) & wide, n) for at in range(len(value) - n + 1)]
+        whole = [v * step[k & 31] & wide for k, v in enumerate(value[1:-1])]
+        found.append(bucket(sum(v ^ v >> 29 for v in whole) & wide, 0))
+    mean = model.embedding[found].mean(0) if found else np.zeros(toxicity.DIM)
+    logits = mean @ model.softmax + model.bias
+    return float(np.exp(logits[1]) / np.exp(logits).sum())
+
+
+def test_toxicity_scores(monkeypatch):
+    """Against a plain scorer, long texts in pieces too."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 2, (1 << toxicity.BITS, toxicity.DIM)), rng.normal(0, 1, (toxicity.DIM, 2)), np.array([0.2, -0.1]))
+    texts = [b"", b"!!", b"You IDIOT, you", "\u00e9t\u00e9 a bb ccc 12".encode(), b"x" * 50, b"some words " * 40 + b"and\nlines\n" * 30]
+    want = [plain_toxic(model, t) for t in texts]
+    assert np.allclose(model.scores(texts), want, atol=1e-5)
+    monkeypatch.setattr(toxicity, "CHUNK", 64)
+    monkeypatch.setattr(samples, "CHUNK", 64)
+    assert np.allclose(model.scores(texts), want, atol=1e-5)
+
+
+def test_quality_ftrl():
+    """Weights and bias against FTRL-proximal weight by weight."""
+    rows = [("good plain words here and more of them", 1), ("BUY now!!! $$$", 0), ("a calm sentence about rivers", 1), ("zz zz zz zz zz", 0), ("rivers and words", 1)]
+    epochs, alpha, beta, l1, l2 = 3, 2.0, 1.0, 1e-4, 1e-3
+    xs = []
+    for t, _ in rows:
+        kinds, _ = quality.features([t.encode()])
+        xs.append({b: c / len(kinds[0]) for b, c in Counter(int(b) for k in kinds for b in k).items()})
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i, lasso: 0.0 if abs(z[i]) <= lasso else -(z[i] - math.copysign(lasso, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    rng, good = np.random.default_rng(0), sum(y for _, y in rows)
+    for _ in range(epochs):
+        for k in rng.permutation(len(xs)):
+            y = rows[k][1]
+            w = {i: weight(i, l1) for i in xs[k]} | {"bias": weight("bias", 0.0)}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in xs[k].items()) - w["bias"]))
+            g = (p - y) * len(rows) / 2 / (good if y else len(rows) - good)
+            for i, v in [*xs[k].items(), ("bias", 1.0)]:
+                z[i] += g * v - (math.sqrt(n[i] + (g * v) ** 2) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += (g * v) ** 2
+    model = quality.fit(rows, 0.5, epochs)
+    assert model.bias == pytest.approx(weight("bias", 0.0), rel=1e-6)
+    used = [i for i in z if i != "bias"]
+    assert np.allclose(model.weights[used], [weight(i, l1) for i in used], atol=1e-5) and np.count_nonzero(model.weights) <= len(used)
+    # What stands before a text in its batch doesn't matter.
+    assert np.allclose(model.scores([t.encode() for t, _ in rows]), [model.scores([t.encode()])[0] for t, _ in rows])
+    text = "rivers good zz"
+    kinds, _ = quality.features([text.encode()])
+    score = 1 / (1 + math.exp(-sum(float(model.weights[b]) for k in kinds for b in k) / 3 - model.bias))
+    assert model.scores([text.encode()])[0] == pytest.approx(score, abs=1e-6)
+
+
+def test_quality_long_texts(monkeypatch):
+    model = quality.fit([("good words " * 9, 1), ("BAD !! $$ bad " * 9, 0)])
+    texts = ["good words and BAD $$ ones, or so.\n".encode() * 60, b"short"]
+    want = model.scores(texts)
+    monkeypatch.setattr(quality, "CHUNK", 128)
+    monkeypatch.setattr(quality, "LOOK", 64)
+    monkeypatch.setattr(samples, "CHUNK", 128)
+    assert np.allclose(model.scores(texts), want, atol=1e-6)
+
+
+def test_queries(spark):
+    """The registered queries without SQL, over a whole table, against brute force."""
+    rows = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    remainder = lambda i, n: zlib.crc32(str(i).encode()) % n
+    lib = wordbpe.word_bpe(BPE).lib
+    ids = {i: lib.encode(r["text"] or "", add_special_tokens=False).ids for i, r in rows.items()}
+    got = registry.op2_token_counts(spark, SF).collect()
+    assert {r["doc_id"]: r["tokens"] for r in got} == {i: len(x) for i, x in ids.items()} and len(got) == len(rows)
+    got = registry.op4_simhash(spark, SF).collect()
+    keys = list(rows)
+    fps = [brute_fingerprint(rows[i]["text"]) for i in keys]
+    comp = union_find(len(keys), [(i, j) for i in range(len(keys)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
+    least = defaultdict(lambda: 1 << 62)
+    for i, c in zip(keys, comp, strict=True):
+        least[c] = min(least[c], i)
+    assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got} == {(i, f"{f:016x}", least[c]) for i, f, c in zip(keys, fps, comp, strict=True)}
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    lang = langid.train(docs)
+    best, score = lang.predict([(r["text"] or "").encode() for r in rows.values()])
+    want = {i: (remainder(i, 4) == 2, lang.languages[b] if any(c.isalpha() for c in r["text"] or "") else "und", round(float(s), 6)) for (i, r), b, s in zip(rows.items(), best, score, strict=True)}
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in registry.op5_language_id(spark, SF).collect()}
+    assert got == {i: (h, k, s if k != "und" else 0.0) for i, (h, k, s) in want.items()}
+    for query, module, n, held, cut in ((registry.op7_toxicity, toxicity, 5, 0, 0.5), (registry.op8_quality, quality, 4, 2, 0.7)):
+        score = module.train(docs, labels).scores([(r["text"] or "").encode() for r in rows.values()])
+        got = {r["doc_id"]: (r["held_out"], round(r["score"], 6), r["predicted"]) for r in query(spark, SF).collect()}
+        assert got == {i: (remainder(i, n) == held, round(float(s), 6), int(s >= cut)) for i, s in zip(rows, score, strict=True)}
+    pieces, used = set(), defaultdict(list)
+    for r in registry.op9_packing(spark, SF).collect():
+        pieces.add((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]))
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    want = {(i, p, s, len(part), zlib.crc32(np.array(part, "<u4"))) for i, x in ids.items() for full in [[*x, 1]] for p, s in enumerate(range(0, len(full), 4096)) for part in [full[s : s + 4096]]}
+    assert pieces == want
+    for held in used.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(held)])]
+        assert [at for at, _ in sorted(held)] == ends[:-1] and ends[-1] <= 4096
+    assert len(used) <= 1.05 * packing.lower_bound(Counter(n for *_, n, _ in pieces)) + 1
+
+
 def test_subword_grams():
     """Buckets of n-grams don't depend on what stands around a word."""
     alone, beside = toxicity.features([b"idiot"]), toxicity.features([b"an idiot, so", b""])

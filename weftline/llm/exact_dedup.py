@@ -69,12 +69,16 @@ def _local_names(block_bytes: int):
     return run
 
 
-def _named(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds name: the rank of the keys among the distinct keys of a sort bucket, and the bucket."""
+def _named(df: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """The carried columns and name: the rank of the keys among the distinct keys of a sort bucket, and the bucket.
+
+    Rows are dealt by bucket once; of a hot key the carried columns alone are held together.
+    """
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
-    w = Window.partitionBy("bucket").orderBy(*keys)
-    rank = F.dense_rank().over(w).cast("long")
-    return df.withColumn("bucket", bucket).withColumn("name", rank * BUCKETS + F.col("bucket")).drop("bucket")
+    each = df.withColumn("bucket", bucket).repartition("bucket").groupBy("bucket", *keys).agg(F.collect_list(F.struct(*carried)).alias("at"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*keys)).cast("long")
+    named = each.withColumn("name", rank * BUCKETS + F.col("bucket"))
+    return named.select("name", F.explode("at").alias("x"), *keys).select("name", "x.*", *keys)
 
 
 def _paired(work: Work, seq: DataFrame) -> DataFrame:
@@ -85,8 +89,7 @@ def _paired(work: Work, seq: DataFrame) -> DataFrame:
     )
     ex = seq.select("part", "row", "blocks", salt_of("part", "row").alias("salt"), F.posexplode(pairs).alias("pos", "pair"))
     ex = ex.select("part", "row", "blocks", "salt", "pos", "pair.a", "pair.b")
-    distinct = ex.groupBy("a", "b").agg(F.collect_set("salt").alias("salts"))
-    named = _named(distinct, ["a", "b"]).select("a", "b", F.explode("salts").alias("salt"), "name")
+    named = _named(ex.select("a", "b", "salt").distinct(), ["a", "b"], ["salt"])
     return _gathered(ex.join(named, ["a", "b", "salt"]))
 
 
@@ -107,7 +110,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     src = docs.select("doc_id", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("sha"))
     local = work.save(src.mapInArrow(_local_names(block_bytes), _LOCAL.format(kind=kind)), "local")
     rows = local.filter("row is not null").select("part", "row", "doc_id", "sha", "ixs")
-    names = _named(local.filter("row is null").select("part", "ix", "block"), ["block"]).select("part", "ix", "name")
+    names = _named(local.filter("row is null").select("part", "ix", "block"), ["block"], ["part", "ix"]).select("part", "ix", "name")
     ex = rows.select("part", "row", F.size("ixs").alias("blocks"), F.posexplode("ixs").alias("pos", "ix"))
     seq = work.save(_gathered(ex.join(names, ["part", "ix"]).drop("ix")), "level0")
     rows = work.save(rows.drop("ixs"), "rows")
