@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from functools import cache
-from pathlib import Path
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from ._work import ascii_lower
 
 LEAST = 0.8
-WORD = r"[a-z0-9\x80-\x{10FFFF}]+"
+#: What stands between words, after A-Z has been lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Licence notices as their licences give them.
 TEMPLATES = {
@@ -58,13 +59,14 @@ TEMPLATES = {
 
 
 def words_of(col: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(col), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(col), BETWEEN), "")
 
 
 @cache
 def full_texts() -> dict[str, str]:
     """Full licence texts, by license_id."""
-    return {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+    folder = resources.files(__package__) / "licence_texts"
+    return {f.name.removesuffix(".txt"): f.read_text() for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 
 
 def bigrams(text: str) -> list[str]:

@@ -111,7 +111,7 @@ t AS (SELECT license_id, {grams} AS g FROM t1),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS said FROM documents UNION ALL
       SELECT doc_id, text FROM documents WHERE contains(text, chr(10))),
 u0 AS (SELECT doc_id, regexp_extract_all({low.format("said")}, '{word}') AS w FROM l),
-u AS (SELECT doc_id, {grams} AS g FROM u0 WHERE len(w) BETWEEN 2 AND 20000),
+u AS (SELECT doc_id, {grams} AS g FROM u0 WHERE len(w) >= 2),
 d AS (SELECT doc_id, license_id, 2.0 * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) AS dice FROM u JOIN t
       ON len(u.g) BETWEEN len(t.g) / 1.5001 AND len(t.g) * 1.5001)
 SELECT doc_id, license_id, count(*) AS units, CAST(round(max(dice), 6) AS DOUBLE) AS dice FROM d WHERE dice >= 0.8 - 1e-12 GROUP BY ALL
