@@ -900,7 +900,17 @@ def linkage_trained(spark, sf):
     return rows.select("s1", F.array_join("pred", ",").alias("matched"), held.alias("held_out"), r6(evaluate.f05(F.col("pred"), F.col("truth")), "f05"))
 
 
-@query()
+@query(f"""{_M}, x AS (SELECT d AS s1, q AS cand, least(1.0, round(name_cos + addr_cos + 0.2 * exact, 6) / 2) AS p FROM r),
+pr AS (SELECT s1, cand, p FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS rn FROM x) WHERE rn <= 8 AND p >= 0.1),
+own AS (SELECT s1, cand, CASE WHEN row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) = 1 THEN p ELSE 0 END AS p FROM pr),
+g AS (SELECT s1, list(cand ORDER BY p DESC, cand) AS cands, list(least(greatest(p, 1e-9), 1 - 1e-9) ORDER BY p DESC, cand) AS ps FROM own GROUP BY s1),
+mi AS (SELECT unnest({list(_CONFIG.miss_priors)}::DOUBLE[]) AS miss), pe AS (SELECT unnest({list(_CONFIG.penalties)}::DOUBLE[]) AS penalty),
+ks AS (SELECT s1, cands, unnest(range(len(ps) + 1)) AS k, ps FROM g), pbs AS (SELECT s1, cands, k, len(ps) AS n, {_pb("ps[1:k]")} AS a, {_pb("ps[k + 1:]")} AS b FROM ks),
+sc AS (SELECT s1, cands, k, miss, CASE WHEN k = 0 THEN CASE WHEN miss = 0 THEN b[1] ELSE 0 END ELSE list_sum(list_transform(range(k + 1), lambda t: a[t + 1] * t * list_sum(list_transform(range(n - k + 1), lambda m: b[m + 1] * 1.25 / (0.25 * (t + m + miss) + k))))) END AS score FROM pbs, mi),
+bk AS (SELECT s1, miss, penalty, any_value(cands) AS cands, arg_min(k, (-round(score - penalty * k, 9), k)) AS n FROM sc, pe GROUP BY 1, 2, 3),
+tr AS (SELECT source1_entity_id AS s1, list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '') AS truth FROM truth),
+z AS (SELECT miss, penalty, truth, coalesce(cands[1:n], []) AS pred FROM tr CROSS JOIN mi CROSS JOIN pe LEFT JOIN bk USING (s1, miss, penalty))
+SELECT miss, penalty, round(avg(CASE WHEN len(pred) = 0 AND len(truth) = 0 THEN 1.0 WHEN len(list_intersect(pred, truth)) = 0 THEN 0 ELSE 1.25 * len(list_intersect(pred, truth)) / (0.25 * len(truth) + len(pred)) END), 6) AS f05 FROM z GROUP BY 1, 2""")
 def decision_grid(spark, sf):
     index, other = _sides(spark, sf)
     rows = _rescored(spark, sf).select(F.col("d").alias("s1"), F.col("q").alias("cand"), F.least(F.lit(1.0), F.round(merge.combine(F.col("name_cos"), F.col("addr_cos"), F.col("exact")), 6) / 2).alias("p"))
