@@ -21,6 +21,7 @@ from weftline.plans import learn, linkage, registry
 from weftline.plans.config import LinkageConfig
 from weftline.plans.fixtures import view
 from weftline.sources import tables
+from weftline.streaming import score
 
 SF = "/root/testdata/sf0.001"
 
@@ -406,6 +407,19 @@ def test_partial():
         assert sim.partial(a, b) == pytest.approx(want)
 
 
+def test_stream(spark, tmp_path):
+    """Records that arrive in two batches find what they find in one."""
+    s1, others = view(spark, SF, "s1"), view(spark, SF, "others").filter("entity_id like 'S2-1%'")
+    config = LinkageConfig(fast=True)
+    others.repartition(2).write.parquet(f"{tmp_path}/in")
+    got = []
+    stream = spark.readStream.schema(others.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    writer = score.link_stream(stream, s1, lambda pairs, n: got.append((n, pairs.select("q", "d", "block_score").collect())), config)
+    writer.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    want = linkage.candidates(*linkage.canonical_sides(s1, others), config).select("q", "d", "block_score").collect()
+    assert len(got) == 2 and sorted(map(tuple, (r for _, rows in got for r in rows))) == sorted(map(tuple, want))
+
+
 def connection():
     con = duckdb.connect()
     for f in os.listdir(SF):

@@ -265,16 +265,17 @@ def topk_cosine(spark, sf):
 
 
 _CONFIG = LinkageConfig()
-_WIDE = {"name_sq": Channel("name_sq", "char_wb", 14, 0.32, 0.2), "addr": Channel("addr_c", "word", 12, 0.30, 0.05)}
+#: The channels as they ship.
+_SHIPPED = _CONFIG.channels
 
 
 def _terms_sql(table: str, col: str, how: str, name: str) -> str:
     """CTE name (id, term, tf), terms with their country."""
     if how == "word":
         cut = f"list_filter(string_split({col}, ' '), lambda t: t <> '')"
-    else:  # one word: the squashed name, a blank on either side
-        grams = [f"CASE WHEN {col} = '' OR len({col}) + 2 < {n} THEN [] ELSE list_transform(range(1, len({col}) + 4 - {n}), lambda i: substr(' ' || {col} || ' ', i, {n})) END" for n in (3, 4)]
-        cut = f"list_concat({', '.join(grams)})"
+    else:  # within words, a blank on either side
+        grams = [f"CASE WHEN len(w) + 2 < {n} THEN [] ELSE list_transform(range(1, len(w) + 4 - {n}), lambda i: substr(' ' || w || ' ', i, {n})) END" for n in (3, 4)]
+        cut = f"flatten(list_transform(list_filter(string_split({col}, ' '), lambda w: w <> ''), lambda w: list_concat({', '.join(grams)})))"
     return f"{name} AS (SELECT id, term, count(*) AS tf FROM (SELECT entity_id AS id, unnest(list_transform({cut}, lambda t: country || '|' || t)) AS term FROM {table}) GROUP BY 1, 2)"
 
 
@@ -287,22 +288,38 @@ def _sides(spark, sf) -> tuple[DataFrame, DataFrame]:
     return canon_of(spark, sf, "s1"), canon_of(spark, sf, "others")
 
 
-@query(f"{_C}, {_channel_sql(_WIDE['name_sq'], 'n')}, {_TOPK.format(qv='nqv', dv='ndv', least=0.32)} SELECT q, d, s FROM top WHERE rn <= 14")
+@query(f"{_C}, {_channel_sql(_SHIPPED['name_sq'], 'n')}, {_TOPK.format(qv='nqv', dv='ndv', least=0.32)} SELECT q, d, s FROM top WHERE rn <= 14")
 def char_ngram_topk(spark, sf):
     index, other = _sides(spark, sf)
-    d, q = linkage.view_vectors(index, other, _WIDE["name_sq"], _CONFIG, 28)
+    d, q = linkage.view_vectors(index, other, _SHIPPED["name_sq"], _CONFIG, 28)
     return retrieve.topk_cosine(q, d, 14, 0.32)
 
 
+def _tok_topk(name: str):
+    c = _SHIPPED[name]
+
+    @query(f"{_C}, {_channel_sql(c, 'n')}, {_TOPK.format(qv='nqv', dv='ndv', least=c.threshold)} SELECT q, d, s FROM top WHERE rn <= {c.k}")
+    def run(spark, sf):
+        index, other = _sides(spark, sf)
+        d, q = linkage.view_vectors(index, other, c, _CONFIG, 28)
+        return retrieve.topk_cosine(q, d, c.k, c.threshold)
+
+    QUERIES[f"{name}_topk"], ORACLE_SQL[f"{name}_topk"] = QUERIES.pop("run"), ORACLE_SQL.pop("run")
+
+
+for _name in ("addr", "name_tok", "addr_core"):
+    _tok_topk(_name)
+
+
 def _joint_sql(side: str) -> str:
     return f"""j{side}0 AS (SELECT id, 'n ' || term AS term, w FROM n{side}v UNION ALL SELECT id, 'a ' || term, w FROM a{side}v),
 j{side} AS (SELECT id, term, w / sqrt(h) AS w FROM j{side}0 JOIN (SELECT id, count(DISTINCT substr(term, 1, 1)) AS h FROM j{side}0 GROUP BY 1) USING (id))"""
 
 
-@query(f"{_C}, {_channel_sql(_WIDE['name_sq'], 'n')}, {_channel_sql(_WIDE['addr'], 'a')}, {_joint_sql('q')}, {_joint_sql('d')}, {_TOPK.format(qv='jq', dv='jd', least=0.25)} SELECT q, d, s FROM top WHERE rn <= 20")
+@query(f"{_C}, {_channel_sql(_SHIPPED['name_sq'], 'n')}, {_channel_sql(_SHIPPED['addr'], 'a')}, {_joint_sql('q')}, {_joint_sql('d')}, {_TOPK.format(qv='jq', dv='jd', least=0.25)} SELECT q, d, s FROM top WHERE rn <= 20")
 def joint_topk(spark, sf):
     index, other = _sides(spark, sf)
-    (dn, qn), (da, qa) = (linkage.view_vectors(index, other, _WIDE[c], _CONFIG, 28) for c in ("name_sq", "addr"))
+    (dn, qn), (da, qa) = (linkage.view_vectors(index, other, _SHIPPED[c], _CONFIG, 28) for c in ("name_sq", "addr"))
     return retrieve.topk_cosine(retrieve.joint(qn, qa), retrieve.joint(dn, da), 20, 0.25)
 
 
@@ -324,7 +341,7 @@ def exact_capped_join(spark, sf):
     return _exact(*_sides(spark, sf))
 
 
-_M = f"""{_E}, {_channel_sql(_WIDE['name_sq'], 'n')}, {_channel_sql(_WIDE['addr'], 'a')},
+_M = f"""{_E}, {_channel_sql(_SHIPPED['name_sq'], 'n')}, {_channel_sql(_SHIPPED['addr'], 'a')},
 sn AS (SELECT a.id AS q, b.id AS d, round(sum(a.w * b.w), 6) AS s FROM nqv a JOIN ndv b ON a.term = b.term GROUP BY 1, 2),
 sa AS (SELECT a.id AS q, b.id AS d, round(sum(a.w * b.w), 6) AS s FROM aqv a JOIN adv b ON a.term = b.term GROUP BY 1, 2),
 tn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS rn FROM sn WHERE s >= 0.32) WHERE rn <= 14),
@@ -336,7 +353,7 @@ r AS (SELECT m.*, coalesce(sn.s, 0) AS name_cos, coalesce(sa.s, 0) AS addr_cos F
 
 def _merged(spark, sf) -> tuple[DataFrame, tuple, tuple]:
     index, other = _sides(spark, sf)
-    (dn, qn), (da, qa) = (linkage.view_vectors(index, other, _WIDE[c], _CONFIG, 28) for c in ("name_sq", "addr"))
+    (dn, qn), (da, qa) = (linkage.view_vectors(index, other, _SHIPPED[c], _CONFIG, 28) for c in ("name_sq", "addr"))
     found = {"exact": _exact(index, other).withColumn("s", F.lit(1.0)), "name": retrieve.topk_cosine(qn, dn, 14, 0.32), "addr": retrieve.topk_cosine(qa, da, 12, 0.30)}
     return written(merge.merge_channels(found), "pairs"), (qn, dn), (qa, da)
 
@@ -363,7 +380,7 @@ def combine_modes(spark, sf):
     return _rescored(spark, sf).select("q", "d", *[r6(merge.combine(*c, mode) + OFF, mode) for mode in ("sum", "weighted", "geometric", "robust")])
 
 
-@query(f"""{_E}, {_channel_sql(_WIDE['name_sq'], 'n')}, {_channel_sql(_WIDE['addr'], 'a')},
+@query(f"""{_E}, {_channel_sql(_SHIPPED['name_sq'], 'n')}, {_channel_sql(_SHIPPED['addr'], 'a')},
 sn AS (SELECT a.id AS q, b.id AS d, round(sum(a.w * b.w), 6) AS s FROM nqv a JOIN ndv b ON a.term = b.term GROUP BY 1, 2),
 sa AS (SELECT a.id AS q, b.id AS d, round(sum(a.w * b.w), 6) AS s FROM aqv a JOIN adv b ON a.term = b.term GROUP BY 1, 2),
 un AS (SELECT q, d, 'exact' AS ch FROM ex UNION ALL SELECT q, d, 'name' FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS rn FROM sn WHERE s >= 0.32) WHERE rn <= 1
@@ -372,7 +389,7 @@ t AS (SELECT source1_entity_id AS d, unnest(string_split(matched_entity_ids, ','
 h AS (SELECT q, d, min(ch) AS channel FROM un SEMI JOIN t USING (q, d) GROUP BY 1, 2 HAVING count(*) = 1) SELECT channel, count(*) AS n FROM h GROUP BY 1""")
 def sole_channel(spark, sf):
     index, other = _sides(spark, sf)
-    (dn, qn), (da, qa) = (linkage.view_vectors(index, other, _WIDE[c], _CONFIG, 28) for c in ("name_sq", "addr"))
+    (dn, qn), (da, qa) = (linkage.view_vectors(index, other, _SHIPPED[c], _CONFIG, 28) for c in ("name_sq", "addr"))
     found = {"exact": _exact(index, other).withColumn("s", F.lit(1.0)), "name": retrieve.topk_cosine(qn, dn, 1, 0.32), "addr": retrieve.topk_cosine(qa, da, 1, 0.30)}
     return merge.sole_channel(merge.merge_channels(found), tables.truth_pairs(view(spark, sf, "truth")), ["exact", "name", "addr"])
 
