@@ -12,8 +12,8 @@ from .vectors import Folded, fold, folded_cosine, term_numbers
 
 #: Rows of an index block that one task holds.
 KNN_BLOCK = 8192
-#: Index vectors that a query's first look meets, times k; the square is for its rarest term alone.
-LOOK = 16
+#: Index vectors that a query's first look meets, times k, and the most that its rarest term may have to be looked up.
+LOOK, RAREST = 4, 256
 
 
 def top(rows: DataFrame, k: int, key: str = "q", other: str = "d") -> DataFrame:
@@ -50,7 +50,7 @@ def topk_cosine(q: DataFrame | Folded, d: DataFrame | Folded, k: int, threshold:
     common = b.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     # The first look: the rarest term, and further ones while few index vectors have them.
     met = F.sum("df").over(Window.partitionBy("q").orderBy("i"))
-    look = a.join(common, "t").withColumn("met", met).filter((F.col("met") <= LOOK * k) | (F.col("i") == 0)).filter(F.col("df") <= LOOK * LOOK * k)
+    look = a.join(common, "t").withColumn("met", met).filter((F.col("met") <= LOOK * k) | (F.col("i") == 0)).filter(F.col("df") <= RAREST * k)
     near = look.select("q", "t").join(b.select("d", "n", "t"), "t").groupBy("q", "d").agg(F.first("n").alias("n"))
     near = folded_cosine(near, q, d).filter(F.col("s") >= threshold)
     before = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("s"), "d")) - F.col("n")
