@@ -21,6 +21,7 @@ from weftline.plans import learn, linkage, registry
 from weftline.plans.config import LinkageConfig
 from weftline.plans.fixtures import view
 from weftline.sources import tables
+from weftline.sources.scratch import written
 from weftline.streaming import score
 
 SF = "/root/testdata/sf0.001"
@@ -186,6 +187,12 @@ def test_calibration(spark):
     assert evaluate.auc(spark.createDataFrame([(0.1, 0), (0.1, 1), (0.9, 1), (0.3, 0)], "p double, y int")).first()["auc"] == 0.625
 
 
+def test_written_size(spark):
+    """A table whose file is small because its column repeats isn't taken for a small one, which would be broadcast."""
+    got = written(spark.range(300_000).select("id", F.lit("x" * 1000).alias("v")), "repeats")
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 10 << 20
+
+
 def test_topk(spark):
     """Against brute force, with equal vectors and ties, for several thresholds."""
     rng = random.Random(7)
