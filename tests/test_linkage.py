@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import similarity as sim
 from weftline.functions import text
-from weftline.operators import adaptive, canon, components, decide, evaluate, features, lexicon, models, retrieve, stack, validate
+from weftline.operators import adaptive, canon, components, decide, evaluate, features, lexicon, models, retrieve, stack, validate, vectors
 from weftline.plans import learn, linkage, registry
 from weftline.plans.config import LinkageConfig
 from weftline.plans.fixtures import view
@@ -208,6 +208,34 @@ def test_topk(spark):
         assert {(r["q"], r["d"]) for r in retrieve.topk_cosine(q, d, k, least).collect()} == want
 
 
+def test_classes(spark):
+    """Equal records are searched once: one of each with the smallest id, nulls too, and pairs of all members."""
+    rows = spark.createDataFrame([("b", "X", "n"), ("a", "X", "n"), ("c", "X", None), ("d", "X", None), ("e", "Y", "n")], "entity_id string, country string, name_c string")
+    one, members = canon.classes(rows)
+    assert sorted(r["entity_id"] for r in one.collect()) == ["a", "c", "e"]
+    pairs = spark.createDataFrame([("a", "i", 1.0), ("c", "j", 0.5)], "q string, d string, s double")
+    assert {tuple(r) for r in canon.each_member(pairs, members).collect()} == {("a", "i", 1.0), ("b", "i", 1.0), ("c", "j", 0.5), ("d", "j", 0.5)}
+
+
+def test_folded_view(spark):
+    """Texts weighed once, with the records that have them counted, give the vectors of all records."""
+    c = LinkageConfig().channels["name_tok"]
+    c = dataclasses.replace(c, max_df=0.5)
+    rows = lambda names: spark.createDataFrame([(f"{i:02}", "X", n) for i, n in enumerate(names)], "entity_id string, country string, name_c string")
+    index, query = rows(["oak mill", "oak mill", "oak inn", "fir inn", "fir", "elm", "elm mill"]), rows(["oak mill", "oak mill", "inn", ""])
+    d, q = linkage.view_vectors(index, query, c, LinkageConfig(), 28)
+    numbers = vectors.term_numbers(d)
+    want = vectors.fold(q, numbers), vectors.fold(d, numbers)
+    got = linkage.folded_view(index, query, c, LinkageConfig(), 28)
+    for x, y in zip(got, want, strict=True):
+        assert {tuple(r) for r in x.ids.collect()} == {tuple(r) for r in y.ids.collect()}
+        flat = lambda f: {(r["vid"], r["n"], tuple(sorted(round(w, 9) for w in r["ws"]))) for r in f.rows.collect()}
+        assert flat(x) == flat(y)
+    pairs = spark.createDataFrame([("00", "01"), ("01", "00"), ("02", "04"), ("03", "00")], "q string, d string")
+    cos = {(r["q"], r["d"]): r["c"] for r in vectors.pair_cosines(pairs, {"c": got}).collect()}
+    assert cos == {("00", "01"): 1.0, ("01", "00"): 1.0, ("02", "04"): 0.0, ("03", "00"): 0.0}
+
+
 def test_knn_string_ids(spark):
     rows = spark.createDataFrame([("a", "X", [1.0, 0.0]), ("b", "X", [0.9, 0.1]), ("c", "Y", [1.0, 0.0]), ("n", "X", None)], "id string, country string, v array<double>")
     assert {(r["q"], r["d"]) for r in retrieve.knn(rows, rows, 1, exclude_same=True).collect()} == {("a", "c"), ("b", "a"), ("c", "a")}
