@@ -208,6 +208,46 @@ def test_topk(spark):
         assert {(r["q"], r["d"]) for r in retrieve.topk_cosine(q, d, k, least).collect()} == want
 
 
+def test_topk_joint(spark):
+    """Joint search by blocks finds what brute force over the joint vectors finds, records without a view, a known term or a neighbour, and ties, included; no pair is written."""
+    rng = random.Random(7)
+    terms = {"n": [f"n{i}" for i in range(12)], "a": [f"a{i}" for i in range(9)]}
+
+    def some(side, view, count):
+        rows = []
+        for i in range(count):
+            g = "xy"[i % 2]
+            if (i + len(view)) % 7 and not (view == "a" and i % 5 == 0):
+                own = rng.sample(terms[view], rng.choice((1, 2))) if not (side == "q" and i == 11) else ["unknown"]
+                rows += [(f"{side}{i}", f"{g}|{t}", 1 / len(own) ** 0.5) for t in own]
+        return rows
+
+    long = {(side, view): some(side, view, count) for side, count in (("q", 60), ("d", 90)) for view in "na"}
+    frame = {key: spark.createDataFrame(rows, "id string, term string, w double") for key, rows in long.items()}
+    groups = tuple(spark.createDataFrame([(f"{side}{i}", "xy"[i % 2]) for i in range(count)], "id string, g string") for side, count in (("q", 60), ("d", 90)))
+    got = retrieve.topk_joint([frame["q", "n"], frame["q", "a"]], [frame["d", "n"], frame["d", "a"]], 5, 0.25, groups, bits=(3, 4))
+    both = {}
+    for side in "qd":
+        for view in "na":
+            for i, t, w in long[side, view]:
+                both.setdefault((side, i), {})[view, t] = w
+    whole = {key: {t: w / len({v for v, _ in x}) ** 0.5 for t, w in x.items()} for key, x in both.items()}
+    want = set()
+    for (side, q), x in whole.items():
+        if side == "q":
+            s = [(-round(sum(w * y.get(t, 0) for t, w in x.items()), 6), d) for (other, d), y in whole.items() if other == "d"]
+            want |= {(q, d, -v) for v, d in sorted(s)[:5] if v <= -0.25}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_canonical_texts(spark):
+    """Texts worked on once give what all records give, nulls included."""
+    rows = spark.createDataFrame([("a", "X", "Oak Inc", "1 Main"), ("b", "X", "Oak Inc", None), ("c", None, None, "1 Main"), ("d", "Y", "Oak Inc", "")], "entity_id string, country string, business_name string, business_address string")
+    want = {tuple(r) for r in canon.canonical(canon.basic(rows)).collect()}
+    assert {tuple(r) for r in canon.canonical_texts(rows).collect()} == want and len(want) == 4
+
+
 def test_classes(spark):
     """Equal records are searched once: one of each with the smallest id, nulls too, and pairs of all members."""
     rows = spark.createDataFrame([("b", "X", "n"), ("a", "X", "n"), ("c", "X", None), ("d", "X", None), ("e", "Y", "n")], "entity_id string, country string, name_c string")
