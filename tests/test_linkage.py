@@ -248,6 +248,16 @@ def test_canonical_texts(spark):
     assert {tuple(r) for r in canon.canonical_texts(rows).collect()} == want and len(want) == 4
 
 
+def test_first_members(spark):
+    """The k best of all members' pairs are among those of the classes' k best and first members."""
+    members = spark.createDataFrame([(f"m{i:02}", f"m{i % 4:02}") for i in range(20)], "entity_id string, same string")
+    pairs = spark.createDataFrame([(f"m{i:02}", "x", s) for i, s in enumerate((0.5, 0.5, 0.9, 0.1))], "q string, d string, s double")
+    for k in (1, 3, 7):
+        few = canon.each_member(retrieve.top(pairs, k, "d", "q"), canon.first_members(members, k))
+        want = {tuple(r) for r in retrieve.top(canon.each_member(pairs, members), k, "d", "q").collect()}
+        assert {tuple(r) for r in retrieve.top(few, k, "d", "q").collect()} == want
+
+
 def test_classes(spark):
     """Equal records are searched once: one of each with the smallest id, nulls too, and pairs of all members."""
     rows = spark.createDataFrame([("b", "X", "n"), ("a", "X", "n"), ("c", "X", None), ("d", "X", None), ("e", "Y", "n")], "entity_id string, country string, name_c string")
