@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import similarity as sim
 from weftline.functions import text
-from weftline.operators import adaptive, canon, components, decide, evaluate, features, lexicon, models, retrieve, stack, validate, vectors
+from weftline.operators import adaptive, canon, components, decide, evaluate, features, lexicon, merge, models, retrieve, stack, validate, vectors
 from weftline.plans import learn, linkage, registry
 from weftline.plans.config import LinkageConfig
 from weftline.plans.fixtures import view
@@ -248,6 +248,16 @@ def test_canonical_texts(spark):
     assert {tuple(r) for r in canon.canonical_texts(rows).collect()} == want and len(want) == 4
 
 
+def test_class_stats(spark):
+    """Statistics by classes are those of all members' pairs, also where classes are scored alike or the best has one member."""
+    members = spark.createDataFrame([("a", "a"), ("c", "a"), ("e", "a"), ("b", "b"), ("d", "b"), ("f", "f")], "entity_id string, same string")
+    pairs = spark.createDataFrame([("a", "x", 0.5), ("b", "x", 0.5), ("f", "x", 0.9), ("a", "y", 0.7), ("b", "y", 0.2), ("f", "z", 0.1), ("a", "w", 0.4), ("b", "w", 0.4), ("f", "w", 0.4)], "q string, d string, s double")
+    names = ["q", "d", "s", "rank", "size", "gap", "margin"]
+    want = {tuple(r) for r in merge.group_stats(canon.each_member(pairs, members), "d", "q").select(names).collect()}
+    got = [tuple(r) for r in merge.class_stats(pairs, members).select(names).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_first_members(spark):
     """The k best of all members' pairs are among those of the classes' k best and first members."""
     members = spark.createDataFrame([(f"m{i:02}", f"m{i % 4:02}") for i in range(20)], "entity_id string, same string")
