@@ -296,6 +296,32 @@ def test_folded_view(spark):
     assert cos == {("00", "01"): 1.0, ("01", "00"): 1.0, ("02", "04"): 0.0, ("03", "00"): 0.0}
 
 
+def test_rich_features_by_text(spark, monkeypatch):
+    """Texts are weighed and compared once, however many records have them, and the values are those of each pair."""
+    sizes = {}
+
+    def kept(df, name):
+        out = written(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(features, "written", kept)
+    text = "entity_id string, country string, name_c string, name_sq string, addr_c string, addr_core string, nums string"
+    of = lambda i, k: (i, f"C{k % 2}", "alpha beta" if k % 3 else "beta gamma gamma", "alphabeta", "12 oak" if k % 3 else "", "oak", "12")
+    index, query = (spark.createDataFrame([of(f"{s}{k}", k) for k in range(60)], text) for s in "dq")
+    pairs = spark.createDataFrame([(f"q{k}", f"d{m}") for k in range(60) for m in range(60) if (k - m) % 2 == 0], "q string, d string")
+    rows, names = features.rich_features(pairs, index, query)
+    got = {(r["q"], r["d"]): r for r in rows.collect()}
+    assert len(got) == 1800 and len(names) == 19
+    same, cross = got["q1", "d1"], got["q3", "d1"]
+    assert (same["name_c_inter"], same["name_c_jac"], same["name_c_cont"]) == (2, 1.0, 1.0)
+    assert (cross["name_c_inter"], cross["name_c_cont"], cross["addr_c_inter"], cross["addr_c_jac"], cross["addr_c_maxidf"]) == (1, 0.5, 0, 0.0, 0.0)
+    # Of 60 records of a country 40 have alpha and all have beta.
+    assert same["name_c_maxidf"] == pytest.approx(math.log(61 / 41)) and cross["name_c_maxidf"] == 0.0
+    assert same["fz_name_tset"] == sim.token_set_udf.func(*(x.toPandas()["name_c"].iloc[1:2] for x in (query, index))).iloc[0]
+    assert max(n for name, many in sizes.items() if name != "rich" for n in many) <= 8
+
+
 def test_knn_string_ids(spark):
     rows = spark.createDataFrame([("a", "X", [1.0, 0.0]), ("b", "X", [0.9, 0.1]), ("c", "Y", [1.0, 0.0]), ("n", "X", None)], "id string, country string, v array<double>")
     assert {(r["q"], r["d"]) for r in retrieve.knn(rows, rows, 1, exclude_same=True).collect()} == {("a", "c"), ("b", "a"), ("c", "a")}
