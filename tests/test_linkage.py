@@ -322,6 +322,12 @@ def test_rich_features_by_text(spark, monkeypatch):
     assert max(n for name, many in sizes.items() if name != "rich" for n in many) <= 8
 
 
+def test_model_rows_written(spark):
+    """Training and scoring read one written table, so that candidates aren't searched again for each of them."""
+    rows, columns = registry._model_rows(spark, SF)
+    assert columns and "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_knn_string_ids(spark):
     rows = spark.createDataFrame([("a", "X", [1.0, 0.0]), ("b", "X", [0.9, 0.1]), ("c", "Y", [1.0, 0.0]), ("n", "X", None)], "id string, country string, v array<double>")
     assert {(r["q"], r["d"]) for r in retrieve.knn(rows, rows, 1, exclude_same=True).collect()} == {("a", "c"), ("b", "a"), ("c", "a")}
