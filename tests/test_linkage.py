@@ -20,7 +20,7 @@ from weftline.operators import adaptive, canon, components, decide, evaluate, fe
 from weftline.plans import learn, linkage, registry
 from weftline.plans.config import LinkageConfig
 from weftline.plans.fixtures import view
-from weftline.sources import tables
+from weftline.sources import scratch, tables
 from weftline.sources.scratch import written
 from weftline.streaming import score
 
@@ -392,6 +392,27 @@ def test_link(spark):
     assert hits / max(len(claimed), 1) > 0.5
 
 
+def test_block_scores(spark):
+    """Pairs of numbered records that carry their vectors have the scores of candidates(), and numbers are in the ids' order."""
+    sides = linkage.canonical_sides(view(spark, SF, "s1"), view(spark, SF, "others").filter("entity_id like 'S%1'"))
+    want = linkage.candidates(*sides, LinkageConfig()).select("q", "d", "block_score").collect()
+    (index, own_d), (query, own_q) = (linkage.numbered(x) for x in sides)
+    got = linkage.block_scores(index, query, LinkageConfig()).collect()
+    ids_d, ids_q = ({r["n"]: r["entity_id"] for r in x.collect()} for x in (own_d, own_q))
+    assert [ids_d[n] for n in sorted(ids_d)] == sorted(ids_d.values())
+    assert sorted((ids_q[r["q"]], ids_d[r["d"]], r["block_score"]) for r in got) == sorted(map(tuple, want))
+
+
+def test_together(spark):
+    """Steps within steps end too, an error comes through, and the setting is as before."""
+    before = spark.conf.get(scratch.SHUFFLE_CLEANUP, "false")
+    one = lambda n: lambda: scratch.written(spark.range(n), "t").count()
+    assert scratch.together(spark, one(1), lambda: scratch.together(spark, one(2), one(3)), one(4)) == [1, [2, 3], 4]
+    with pytest.raises(ZeroDivisionError):
+        scratch.together(spark, one(1), lambda: 1 // 0)
+    assert spark.conf.get(scratch.SHUFFLE_CLEANUP, "false") == before
+
+
 SMALL = LinkageConfig(rounds=6, prune_rounds=5, depth=3, miss_priors=(0.0, 0.2), penalties=(0.0,))
 
 
