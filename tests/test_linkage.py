@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import similarity as sim
 from weftline.functions import text
-from weftline.operators import adaptive, canon, components, decide, evaluate, features, lexicon, merge, models, retrieve, stack, validate, vectors
+from weftline.operators import adaptive, canon, components, decide, evaluate, features, lexicon, merge, models, prune, retrieve, stack, trees, validate, vectors
 from weftline.plans import learn, linkage, registry
 from weftline.plans.config import LinkageConfig
 from weftline.plans.fixtures import view
@@ -328,6 +328,57 @@ def test_model_rows_written(spark):
     assert columns and "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("alone", [0, trees.ALONE])
+def test_trees_as_mllib(spark, monkeypatch, alone):
+    """Of so few rows MLlib draws none; dealt over tasks or learned in one, the chances are the same."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    monkeypatch.setattr(trees, "ALONE", alone)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 3)).round(1)
+    y = x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=3000) / 2 > 0.7
+    data = [(int(k), float(a), float(b) if k % 5 else None, int(3 * c), int(t)) for k, ((a, b, c), t) in enumerate(zip(x, y, strict=True))]
+    rows = written(spark.createDataFrame(data, "id int, a double, b double, c int, label int").repartition(3), "rows")
+    for held in (F.lit(False), F.col("id") % 10 == 0):
+        marked = rows.withColumn("validation", held)
+        early = {} if marked.filter("validation").isEmpty() else {"validationIndicatorCol": "validation"}
+        wide = models.assembled(marked, ["a", "b", "c"]).withColumn("label", F.col("label").cast("double"))
+        want = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.1, seed=0, **early).fit(wide).transform(wide).select("id", vector_to_array("probability")[1])
+        got = models.predict(models.train_trees(marked, ["a", "b", "c"], 12, 3), marked, ["a", "b", "c"]).select("id", "p")
+        want, got = ([r[1] for r in sorted(map(tuple, t.collect()))] for t in (want, got))
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_trees_all_rows(spark):
+    """Values of a single row of 40,000 each have their threshold, and rows of the pruner are all learned from."""
+    rows = spark.range(40_000).select(F.concat(F.lit("S1-"), "id").alias("s1"), F.when(F.col("id") < 24, F.col("id") + 1).otherwise(0).cast("double").alias("x"), F.lit("A").alias("country"))
+    rows = written(rows.withColumn("label", (F.col("x") % 2).cast("int")), "rows")
+    for model, taught in ((models.train_trees(rows, ["x"], 60, 5), rows), (prune.train(rows, ["x"], rounds=60), rows.filter(models.entity_fold(F.col("s1")) != 0))):
+        wrong = models.predict(model, taught, ["x"]).filter((F.col("p") > 0.3) != (F.col("label") == 1))
+        assert wrong.count() == 0
+
+
+def test_trees_summaries(monkeypatch):
+    """Of more values than a summary keeps, ranks stay right to 3/POINTS."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(trees, "ROWS", 1000)
+    monkeypatch.setattr(trees, "MANY", 5)
+    x = np.random.default_rng(1).normal(size=30_000)
+    _, v, n = (c[0].as_py() for c in next(trees._summaries((pa.RecordBatch.from_arrays([pa.array(part)], ["x"]) for part in np.split(x, 60)), 1)).columns)
+    v, n = np.frombuffer(v), np.frombuffer(n)
+    assert len(v) <= trees.POINTS and n.sum() == len(x)
+    assert np.abs(np.searchsorted(np.sort(x), v, "right") - np.cumsum(n)).max() <= 3 * len(x) / trees.POINTS
+
+
+def test_pruner_without_pairs(spark, tmp_path):
+    """Of names and addresses that too many records share there are no pairs, and so no rows to learn from."""
+    part = spark.read.parquet(f"{SF}/part.parquet").filter("p_partkey = 12")
+    part.drop("p_partkey").crossJoin(spark.range(60).select((900 * F.col("id")).alias("p_partkey"))).write.parquet(f"{tmp_path}/part.parquet")
+    assert registry.pruner_gbt(spark, str(tmp_path)).count() == 0
+
+
 def test_knn_string_ids(spark):
     rows = spark.createDataFrame([("a", "X", [1.0, 0.0]), ("b", "X", [0.9, 0.1]), ("c", "Y", [1.0, 0.0]), ("n", "X", None)], "id string, country string, v array<double>")
     assert {(r["q"], r["d"]) for r in retrieve.knn(rows, rows, 1, exclude_same=True).collect()} == {("a", "c"), ("b", "a"), ("c", "a")}
