@@ -492,6 +492,17 @@ def holdout(spark):
     return docs, labels
 
 
+def test_quality_at_once(monkeypatch):
+    """Short texts are scored by few bytes at a time, and score the same alone."""
+    sizes, of = [], quality.features
+    monkeypatch.setattr(quality, "features", lambda texts, skip=0: sizes.append(sum(map(len, texts))) or of(texts, skip))
+    model = quality.Model(np.random.default_rng(0).normal(size=1 << quality.BITS).astype(np.float32), 0.1)
+    texts = [f"some words {k} ".encode() * 900 for k in range(200)]
+    got = model.scores(texts)
+    assert max(sizes) <= quality.AT_ONCE < sum(map(len, texts))
+    assert got == pytest.approx([model.scores([t])[0] for t in texts], abs=1e-12)
+
+
 def test_quality(spark, awkward, nothing):
     docs, labels = holdout(spark)
     model = quality.train(docs, labels)

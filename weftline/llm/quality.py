@@ -24,6 +24,8 @@ MOST, LONGEST = 3000, 20_000
 KEEP = 0.7
 #: Bytes of the piece before that a piece of a long text sees: room for the words that shapes compare with.
 LOOK = 4096
+#: Bytes of short texts scored at a time, and rows of a batch: what they take stays in a worker, beside all else that an executor holds.
+AT_ONCE, ROWS = 1 << 18, 1000
 
 _SPACE, _WORD, _SIGN = 0, 1, 2
 _CLASS = np.full(256, _SIGN, np.uint8)
@@ -90,7 +92,7 @@ class Model:
         Long texts are summed by pieces, which see LOOK bytes of the one before; of a word of over CHUNK bytes the first ones count.
         """
         out = np.zeros(len(texts))
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, AT_ONCE):
             if b - a > 1:
                 total, n = self._sums(texts[a:b])
             else:
@@ -164,9 +166,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = pa.array(held.value.scores(raw_texts(b.column("text"))))
-            yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, "quality_score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                got = pa.array(held.value.scores(raw_texts(b.column("text"))))
+                yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, "quality_score"])
 
     docs = docs.drop("quality_score")
     return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("quality_score")).schema)

@@ -35,12 +35,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, longest:
     return out
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of texts, of CHUNK bytes each or of one text."""
+def chunks(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts, of `most` bytes each or of one text."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) < CHUNK):
+        while end < len(texts) and (end == at or size + len(texts[end]) < most):
             size += len(texts[end])
             end += 1
         yield at, end
