@@ -322,6 +322,65 @@ def test_rich_features_by_text(spark, monkeypatch):
     assert max(n for name, many in sizes.items() if name != "rich" for n in many) <= 8
 
 
+def test_features_by_text(spark, monkeypatch):
+    """All pair features take their views and scores from distinct texts, however many records have them."""
+    sizes = {}
+
+    def kept(df, name):
+        out = written(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(features, "written", kept)
+    text = "entity_id string, country string, name_c string, name_core string, name_sq string, addr_c string, addr_core string, nums string, postal string"
+    of = lambda s, k: (f"{s}{k}", f"C{k % 2}", "alpha beta" if k % 3 else "beta gamma", "beta", "alphabeta", f"{12 + k % 3} oak", "oak", f"{12 + k % 3}", "")
+    index, query = (spark.createDataFrame([of(s, k) for k in range(60)], text) for s in ("S1-", "S3-"))
+    pairs = spark.createDataFrame([(f"S3-{k}", f"S1-{m}") for k in range(60) for m in range(60) if (k - m) % 2 == 0], "q string, d string")
+    rows = features.build(pairs.withColumns({c: F.lit(0.5) for c in features.BLOCK_COLUMNS}), index, query)
+    got = {(r["q"], r["d"]): r for r in rows.collect()}
+    same, cross = got["S3-1", "S1-1"], got["S3-3", "S1-1"]
+    assert len(got) == 1800 and rows.columns[3:] == features.feature_names()
+    assert (same["cos_name_tok"], same["name_jw"], same["hn_eq"], same["jac_addr_tok"]) == (1.0, 1.0, 1, 1.0)
+    assert (cross["hn_delta"], cross["jac_name_tok"], cross["n_name_tok_a"], cross["sq_exact"]) == (-1.0, pytest.approx(1 / 3), 2, 1)
+    assert (cross["s1_name_mult"], cross["s1_core_mult"], cross["oth_name_mult"], cross["src_is_s3"]) == (20, 30, 10, 1)
+    assert max(n for name, many in sizes.items() if name not in ("paired_texts", "text_terms", "feature_terms") for n in many) <= 18
+    assert max(sizes["text_terms"]) <= 200
+
+
+def test_tree_leaves_by_columns():
+    """Rows go where a walk from the root leads them, with leaves at any depth, of bins and of values."""
+    draw = np.random.default_rng(5)
+    for depth in (1, 4, 8):
+        size = (2 << depth) - 1
+        feature = [int(f) if n < (1 << depth) - 1 else -1 for n, f in enumerate(draw.integers(-1, 6, size))]
+        tree = trees.Tree(feature, [float(m) for m in draw.integers(0, 30, size)], [0.0] * size)
+        for x in (draw.integers(0, 32, (6, 300)).astype(np.uint8), draw.random((6, 300)) * 32):
+            for levels in range(depth + 1):
+                want = []
+                for row in x.T:
+                    node = 0
+                    for _ in range(levels):
+                        node = node if tree.feature[node] < 0 else 2 * node + 1 + int(row[tree.feature[node]] > tree.most[node])
+                    want.append(node)
+                assert tree.leaves(x, levels).tolist() == want
+
+
+def test_label_lists(spark):
+    pairs = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("c", "z")], "s1 string, cand string")
+    truth = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), ("d", "z")], "s1 string, cand string")
+    of = lambda f: {tuple(r) for r in f(pairs, truth).select("s1", "cand", "label").collect()}
+    assert of(features.label_lists) == of(features.label) == {("a", "x", 1), ("a", "y", 0), ("b", "x", 0), ("c", "z", 0)}
+
+
+def test_grid_search_is_dealt(spark):
+    """The grid's work on a group's small row isn't left to the few tasks that its bytes would make."""
+    pairs = spark.createDataFrame([("a", "x", 0.9), ("b", "y", 0.4)], "s1 string, cand string, p double")
+    truth = spark.createDataFrame([("a", ["x"]), ("b", [])], "s1 string, matched array<string>")
+    got = decide.grid_search(pairs, truth, truth.select("s1"), (0.0,), (0.0,))
+    assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.first()["f05"] == 1.0
+
+
 def test_model_rows_written(spark):
     """Training and scoring read one written table, so that candidates aren't searched again for each of them."""
     rows, columns = registry._model_rows(spark, SF)
