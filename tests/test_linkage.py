@@ -438,6 +438,16 @@ def test_pruner_without_pairs(spark, tmp_path):
     assert registry.pruner_gbt(spark, str(tmp_path)).count() == 0
 
 
+def test_pruner_without_rows_to_learn(spark, tmp_path):
+    """Where all pairs are of entities held out for validation, each has the chance 0.5 and none is lost."""
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    part.filter(models.entity_fold(F.format_string("S1-%d", "p_partkey")) == 0).write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.pruner_gbt(spark, str(tmp_path)).collect()
+    pairs = registry.exact_capped_join(spark, str(tmp_path)).collect()
+    assert pairs and sorted((r["cand"], r["s1"]) for r in got) == sorted((r["q"], r["d"]) for r in pairs)
+    assert {r["p"] for r in got} == {0.5}
+
+
 def test_knn_string_ids(spark):
     rows = spark.createDataFrame([("a", "X", [1.0, 0.0]), ("b", "X", [0.9, 0.1]), ("c", "Y", [1.0, 0.0]), ("n", "X", None)], "id string, country string, v array<double>")
     assert {(r["q"], r["d"]) for r in retrieve.knn(rows, rows, 1, exclude_same=True).collect()} == {("a", "c"), ("b", "a"), ("c", "a")}
